@@ -22,8 +22,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_digest
+
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_source_mixing, op7_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
