@@ -12,10 +12,11 @@ similarity, and a large set costs one or two rounds.
 3. Each class is paired with the leader (least id) of each of its buckets: as many pairs as
    rows, whatever the bucket's size.  Pairs are verified on the full shingle sets, and
    verified links joined to components.
-4. Where members of a bucket remain in different components, blocks of 256 sketches are
+4. Where members of a bucket remain in different components, blocks of 512 sketches are
    compared with each other; pairs from different components with at least half of the
-   coordinates equal (a pair at 0.75 fails this once in a million) are verified too.  So no
-   bucket is capped and no link is lost to the choice of leaders.
+   coordinates equal (a pair at 0.75 fails this once in a million) are verified too, each in
+   the first band it shares.  So no bucket is capped and no link is lost to the choice of
+   leaders.
 
 Shingle sets are compared by 64-bit hashes of the shingles.
 
@@ -40,7 +41,7 @@ from .common import Scratch, arrow_rows
 from .components import connected_components
 
 _NULL = -(2**63)
-_BLOCK = 256
+_BLOCK = 512
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -148,28 +149,28 @@ def _verify(least: int):
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs consecutive members of a bucket into blocks; input is sorted by bucket."""
-    names = ["key", "block", "comps", "cs", "ns", "sks"]
-    key, held, n_block = None, [], 0
+    """Packs consecutive members of a bucket into blocks; input is sorted by bucket and salt."""
+    names = ["key", "band", "comps", "cs", "ns", "sks"]
+    key, held = None, []
 
     def close() -> pa.RecordBatch:
         comps, cs, ns, sks = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n_block], pa.int64()), pa.array([b"".join(comps)]), pa.array([b"".join(cs)]), pa.array([np.array(ns, dtype=np.int64).tobytes()]), pa.array([b"".join(sks)])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([b"".join(comps)]), pa.array([b"".join(cs)]), pa.array([np.array(ns, dtype=np.int64).tobytes()]), pa.array([b"".join(sks)])], names=names)
 
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (row["key"] != key or len(held) == _BLOCK):
+            if held and ((row["key"], row["band"], row["salt"]) != key or len(held) == _BLOCK):
                 yield close()
-                n_block = n_block + 1 if row["key"] == key else 0
                 held = []
-            key = row["key"]
+            key = (row["key"], row["band"], row["salt"])
             held.append((row["comp"], row["c"], row["n"], row["sk"]))
     if held:
         yield close()
 
 
-def _cross(least: int, t: int):
-    """Pairs of two blocks that lie in different components and are alike enough by size and sketch."""
+def _cross(least: int, bands: int, rows: int):
+    """Pairs of two blocks that lie in different components and are alike enough by size and sketch, in the first band they share."""
+    t = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +184,10 @@ def _cross(least: int, t: int):
                     at = np.flatnonzero(fits)
                     if row["block"] == row["block1"]:
                         at = at[at > i]
-                    at = at[(sb[at] == sa[i]).sum(1) >= t // 2]
+                    same = sb[at] == sa[i]
+                    likely = same.sum(1) >= t // 2
+                    at, same = at[likely], same[likely]
+                    at = at[same.reshape(-1, bands, rows).all(2).argmax(1) == row["band"]]
                     out[0].extend([ca[i].tobytes()] * len(at))
                     out[1].extend(x.tobytes() for x in cb[at])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["c", "c0"])
@@ -205,9 +209,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 24, rows: i
     sets = scratch.write(texts.mapInArrow(_sets(bands, rows), "id long, h long, n long, c binary, bands array<long>, sk binary"))
     first = sets.filter("n > 0").groupBy("c").agg(F.min(F.struct("id", "h", "n", "bands", "sk")).alias("r"))
     classes = scratch.write(first.select("c", "r.*"))
-    members = classes.select("c", "id", "n", F.explode("bands").alias("key"))
+    members = classes.select("c", "id", "n", F.posexplode("bands").alias("band", "key"))
     leaders = members.groupBy("key").agg(F.min(F.struct("id", "c", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "l")
-    buckets = scratch.write(members.join(leaders, "key").select("key", "c", "n", F.col("l.c").alias("c0"), F.col("l.n").alias("n0")))
+    buckets = scratch.write(members.join(leaders, "key").select("key", "band", "c", "n", F.col("l.c").alias("c0"), F.col("l.n").alias("n0")))
     alike = F.least("n", "n0") * 100 >= F.greatest("n", "n0") * percent
     pairs = scratch.write(buckets.filter((F.col("c") != F.col("c0")) & alike).select("c", "c0").distinct())
 
@@ -224,14 +228,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 24, rows: i
 
     links = verified(pairs)
     labels = connected_components(links, scratch)
-    placed = buckets.select("key", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    placed = buckets.select("key", "band", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("key", "size")
     if mixed.head(1):
         inside = placed.join(mixed, "key").join(classes.select("c", "n", "sk"), "c")
-        salted = inside.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(64)))
-        blocks = scratch.write(salted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_block_rows, "key long, block long, comps binary, cs binary, ns binary, sks binary").withColumn("block", F.monotonically_increasing_id()))
+        salted = inside.withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") * 1.25 / _BLOCK))).select("key", "band", "salt", "comp", "c", "n", "sk")
+        blocks = salted.repartition("key", "salt").sortWithinPartitions("key", "band", "salt").mapInArrow(_block_rows, "key long, band int, comps binary, cs binary, ns binary, sks binary")
+        blocks = scratch.write(blocks.withColumn("block", F.monotonically_increasing_id()))
         other = blocks.select("key", *(F.col(x).alias(f"{x}1") for x in ("block", "comps", "cs", "ns", "sks")))
-        found = blocks.join(other, "key").filter("block <= block1").mapInArrow(_cross(percent, t), "c binary, c0 binary").distinct()
+        found = blocks.join(other, "key").filter("block <= block1").mapInArrow(_cross(percent, bands, rows), "c binary, c0 binary").distinct()
         more = scratch.write(found.join(pairs, ["c", "c0"], "left_anti").join(pairs.select(F.col("c0").alias("c"), F.col("c").alias("c0")), ["c", "c0"], "left_anti"))
         if more.head(1):
             links = scratch.write(links.union(verified(more)))
