@@ -86,10 +86,10 @@ class Words:
         return at, runs(self.hash, at, at + n, _GRAM)
 
 
-def split_words(data: np.ndarray, bounds: np.ndarray, hashes: bool = True) -> Words:
-    """Words of the documents data[bounds[i]:bounds[i + 1]]."""
+def split_words(data: np.ndarray, bounds: np.ndarray, hashes: bool = True, inside: np.ndarray | None = None) -> Words:
+    """Words of the documents data[bounds[i]:bounds[i + 1]]; ``inside`` marks the bytes of words."""
     n = len(data)
-    inside = ~SPACE[data]
+    inside = ~SPACE[data] if inside is None else inside
     cut = np.zeros(n + 1, dtype=bool)
     cut[bounds] = True
     before = np.ones(n, dtype=bool)

@@ -28,14 +28,56 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import token_table
+
+    return token_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_substring_dedup,
+    op3_source_mixing,
+    op4_language_id,
+    op5_benchmark_decontamination,
+    op6_quality_rules,
+    op7_minhash_neardup,
+    op8_html_extraction,
+    op10_token_output,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_source_mixing, op7_minhash_neardup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
