@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import repeat
 
 import numpy as np
 
@@ -31,21 +32,18 @@ class PieceCache:
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, number of ids of each piece)."""
-        new = list(set(pieces) - self.code.keys())
-        if new:
+        n = len(pieces)
+        code = np.fromiter(map(self.code.get, pieces, repeat(-1)), dtype=np.int64, count=n)
+        new = np.flatnonzero(code < 0)
+        if len(new):
             if len(self.code) + len(new) > CACHE:
                 self.clear()
-                new = list(set(pieces))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for piece, e in zip(part, self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    self.code[piece] = len(self.size)
-                    self.start.append(len(self.flat))
-                    self.size.append(len(ids))
-                    self.flat.extend(ids)
-        n = len(pieces)
-        code = np.fromiter(map(self.code.__getitem__, pieces), dtype=np.int64, count=n)
+                new = range(n)
+            self._learn(list({pieces[i] for i in new}))
+            if len(new) == n:
+                code = np.fromiter(map(self.code.__getitem__, pieces), dtype=np.int64, count=n)
+            else:
+                code[new] = [self.code[pieces[i]] for i in new]
         size = np.frombuffer(self.size, dtype=np.uint32)[code].astype(np.int64) if n else np.zeros(0, dtype=np.int64)
         if not size.sum():
             return np.zeros(0, dtype=np.uint32), size
@@ -53,6 +51,22 @@ class PieceCache:
         at = np.repeat(np.frombuffer(self.start, dtype=np.uint64)[code].astype(np.int64) - (ends - size), size) + np.arange(ends[-1])
         return np.frombuffer(self.flat, dtype=np.uint32)[at], size
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes many pieces as one text, cut by the places of its tokens: far fewer calls than one for each piece."""
+        for i in range(0, len(new), 512):
+            part = new[i : i + 512]
+            texts = [x.decode("utf-8", "replace") for x in part]
+            starts = np.cumsum([0] + [len(x) + 1 for x in texts])
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            owner = np.searchsorted(starts, np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(e.ids)), side="right") - 1
+            size = np.bincount(owner, minlength=len(part))
+            first = len(self.flat) + np.cumsum(size) - size
+            base = len(self.size)
+            self.flat.extend(e.ids)
+            self.start.extend(first.tolist())
+            self.size.extend(size.tolist())
+            self.code.update(zip(part, range(base, base + len(part)), strict=True))
+
 
 def pieces_of(path: str) -> PieceCache:
     if path not in _OPEN:
