@@ -42,7 +42,7 @@ FAMILIES = {
     "semitic": "ar he mt am".split(),
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
-BITS = 13
+BITS = 12
 _LETTERS = np.zeros(256, dtype=np.uint8)
 _LETTERS[:] = 32
 _LETTERS[97:123] = np.arange(97, 123)
@@ -143,7 +143,8 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
     families = sorted(set(family))
     of = [families.index(f) for f in family]
     scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    z = np.concatenate([x * scale, np.ones((len(x), 1))], 1)
+    z = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
+    np.multiply(x, scale, out=z[:, :-1], casting="same_kind")
     y = np.array([languages.index(v) for v in lang])
     fy = np.array(of)[y]
     columns = [train_svm(z, np.where(fy == f, 1.0, -1.0)) for f in range(len(families))] if len(families) > 1 else [np.zeros(z.shape[1])]
@@ -158,7 +159,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def learn(docs: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Model from the rows that may be learnt from; None if there is none."""
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -207,7 +208,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return docs.select(*(f for f in docs.columns if f not in ("lang_pred", "score"))).mapInArrow(run, schema)
 
 
-def identify_language(docs: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def identify_language(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, lang_pred, score."""
     model = learn(docs, sample_rows)
     out = identify(docs.select("doc_id", "text"), model)

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from entwine.llm.langid import fit, features, has_letter, identify_language, train_svm
+from entwine.llm.langid import BITS, fit, features, has_letter, identify_language, train_svm
 from .fixtures import DOC, documents
 
 # A few common words of each language.
@@ -66,6 +66,6 @@ def test_machine_separates():
 def test_features_of_short_texts(text):
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     x = features(raw, np.array([0, len(raw)]))
-    assert x.shape == (1, 1 << 13) and x.sum() in (0, pytest.approx(1))
+    assert x.shape == (1, 1 << BITS) and x.sum() in (0, pytest.approx(1))
     assert has_letter(raw, np.array([0, len(raw)])).tolist() == [bool(text.strip())]
     assert fit(np.vstack([x, x]), ["en", "de"]).predict(x)[0].shape == (1,)
