@@ -12,11 +12,11 @@ similarity, and a large set costs one or two rounds.
 3. Each class is paired with the leader (least id) of each of its buckets: as many pairs as
    rows, whatever the bucket's size.  Pairs are verified on the full shingle sets, and
    verified links joined to components.
-4. Where members of a bucket remain in different components, blocks of 512 sketches are
-   compared with each other; pairs from different components with at least half of the
-   coordinates equal (a pair at 0.75 fails this once in a million) are verified too, each in
-   the first band it shares.  So no bucket is capped and no link is lost to the choice of
-   leaders.
+4. Where members of a bucket remain in different components, blocks of up to 512 members are
+   compared with each other: pairs from different components with at least half of the
+   sketch's coordinates equal (a pair at 0.75 fails this once in a million) are verified on
+   the full sets there and then, and only links leave the task.  So no bucket is capped and no
+   link is lost to the choice of leaders.
 
 Shingle sets are compared by 64-bit hashes of the shingles.
 
@@ -33,15 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, arrow_rows
+from .common import Scratch, arrow_rows, partitions
 from .components import connected_components
 
 _NULL = -(2**63)
-_BLOCK = 512
+_BLOCK, _BLOCK_BYTES = 512, 1 << 21
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -148,53 +149,101 @@ def _verify(least: int):
     return run
 
 
+_BLOCK_DDL = "block long, comps binary, cs binary, ns binary, sks binary, sets binary"
+
+
+def _set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[bytes] = []
+        for i, j, data, bounds in K.slices(batch.column(1)):
+            first, h = shingles(data, bounds)
+            out += [h[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["c", "set"])
+
+
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs consecutive members of a bucket into blocks; input is sorted by bucket and salt."""
-    names = ["key", "band", "comps", "cs", "ns", "sks"]
-    key, held = None, []
+    """Packs consecutive members into blocks of at most _BLOCK members and about _BLOCK_BYTES of shingles."""
+    part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def close() -> pa.RecordBatch:
-        comps, cs, ns, sks = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([b"".join(comps)]), pa.array([b"".join(cs)]), pa.array([np.array(ns, dtype=np.int64).tobytes()]), pa.array([b"".join(sks)])], names=names)
+        comps, cs, ns, sks, sets = zip(*held, strict=True)
+        row = (b"".join(comps), b"".join(cs), np.array(ns, dtype=np.int64).tobytes(), b"".join(sks), b"".join(sets))
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["block", "comps", "cs", "ns", "sks", "sets"])
 
     for batch in batches:
         for row in batch.to_pylist():
-            if held and ((row["key"], row["band"], row["salt"]) != key or len(held) == _BLOCK):
+            held.append((row["comp"], row["c"], row["n"], row["sk"], row["set"]))
+            size += len(row["set"])
+            if len(held) == _BLOCK or size >= _BLOCK_BYTES:
                 yield close()
-                held = []
-            key = (row["key"], row["band"], row["salt"])
-            held.append((row["comp"], row["c"], row["n"], row["sk"]))
+                n, held, size = n + 1, [], 0
     if held:
         yield close()
 
 
-def _cross(least: int, bands: int, rows: int):
-    """Pairs of two blocks that lie in different components and are alike enough by size and sketch, in the first band they share."""
-    t = bands * rows
+def _block_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, cs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            members = [cs[i : i + 16] for i in range(0, len(cs), 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(members), pa.int64()), pa.array(members, pa.binary())], names=["block", "c"])
+
+
+def _cross(least: int, t: int):
+    """Links between members of two blocks that lie in different components, verified on the full sets."""
+
+    def side(row: dict, x: str) -> tuple:
+        n = np.frombuffer(row[f"ns{x}"], dtype=np.int64)
+        return np.frombuffer(row[f"comps{x}"], dtype="V16"), np.frombuffer(row[f"cs{x}"], dtype="V16"), n, np.frombuffer(row[f"sks{x}"], dtype=np.uint8).reshape(-1, t), np.frombuffer(row[f"sets{x}"], dtype=np.uint64), np.concatenate([[0], np.cumsum(n)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list] = ([], [])
             for row in batch.to_pylist():
-                (pa_, ca, na, sa), (pb, cb, nb, sb) = (
-                    (np.frombuffer(row[f"comps{x}"], dtype="V16"), np.frombuffer(row[f"cs{x}"], dtype="V16"), np.frombuffer(row[f"ns{x}"], dtype=np.int64), np.frombuffer(row[f"sks{x}"], dtype=np.uint8).reshape(-1, t)) for x in ("", "1")
-                )
+                (pa_, ca, na, sa, va, oa), (pb, cb, nb, sb, vb, ob) = side(row, ""), side(row, "1")
                 for i in range(len(ca)):
-                    fits = (100 * np.minimum(na[i], nb) >= least * np.maximum(na[i], nb)) & (pb != pa_[i])
-                    at = np.flatnonzero(fits)
+                    at = np.flatnonzero((100 * np.minimum(na[i], nb) >= least * np.maximum(na[i], nb)) & (pb != pa_[i]))
                     if row["block"] == row["block1"]:
                         at = at[at > i]
-                    same = sb[at] == sa[i]
-                    likely = same.sum(1) >= t // 2
-                    at, same = at[likely], same[likely]
-                    at = at[same.reshape(-1, bands, rows).all(2).argmax(1) == row["band"]]
+                    at = at[(sb[at] == sa[i]).sum(1) >= t // 2]
+                    if not len(at):
+                        continue
+                    mine = va[oa[i] : oa[i + 1]]
+                    theirs = np.concatenate([vb[ob[k] : ob[k + 1]] for k in at])
+                    found = np.searchsorted(mine, theirs)
+                    equal = mine[np.minimum(found, len(mine) - 1)] == theirs
+                    both = K.sums_between(equal, np.concatenate([[0], np.cumsum(nb[at])]))
+                    at = at[100 * both >= least * (na[i] + nb[at] - both)]
                     out[0].extend([ca[i].tobytes()] * len(at))
                     out[1].extend(x.tobytes() for x in cb[at])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["c", "c0"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
 
     return run
 
 
+def _residual(inside: DataFrame, classes: DataFrame, text_of, percent: int, t: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between different components of one bucket; ``inside`` has key, size, c, comp.
+
+    A member lies in one block only, next to the members of its largest bucket; two blocks
+    meet if a bucket has members in both.
+    """
+    spark = inside.sparkSession
+    inside = scratch.write(inside.select("key", "size", "c", "comp"))
+    placed = inside.groupBy("c").agg(F.max(F.struct("size", "key")).alias("a"), F.min("comp").alias("comp"))
+    sets = text_of(placed.select("c")).mapInArrow(_set_of, "c binary, set binary")
+    members = placed.join(classes.select("c", "n", "sk"), "c").join(sets, "c").select("a.size", "a.key", "comp", "c", "n", "sk", "set")
+    members = scratch.write(members)
+    blocks = scratch.write(members.repartitionByRange(partitions(spark), "size", "key", "c").sortWithinPartitions("size", "key", "c").mapInArrow(_block_rows, _BLOCK_DDL))
+    member_block = blocks.select("block", "cs").mapInArrow(_block_members, "block long, c binary")
+    touched = inside.select("key", "c").join(member_block, "c").select("key", "block").distinct()
+    meet = touched.join(touched.withColumnRenamed("block", "block1"), "key").filter("block <= block1").select("block", "block1").distinct()
+    other = blocks.select(*(F.col(x).alias(f"{x}1") for x in blocks.columns))
+    arrow_rows(spark, 4)
+    links = scratch.write(meet.join(blocks.hint("merge"), "block").join(other.hint("merge"), "block1").mapInArrow(_cross(percent, t), "a binary, b binary"))
+    arrow_rows(spark)
+    scratch.drop(inside, members, blocks)
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 24, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept, n_links (links of its class found on verified pairs), text_hash.
 
@@ -209,38 +258,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 24, rows: i
     sets = scratch.write(texts.mapInArrow(_sets(bands, rows), "id long, h long, n long, c binary, bands array<long>, sk binary"))
     first = sets.filter("n > 0").groupBy("c").agg(F.min(F.struct("id", "h", "n", "bands", "sk")).alias("r"))
     classes = scratch.write(first.select("c", "r.*"))
-    members = classes.select("c", "id", "n", F.posexplode("bands").alias("band", "key"))
+    members = classes.select("c", "id", "n", F.explode("bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min(F.struct("id", "c", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "l")
-    buckets = scratch.write(members.join(leaders, "key").select("key", "band", "c", "n", F.col("l.c").alias("c0"), F.col("l.n").alias("n0")))
+    buckets = scratch.write(members.join(leaders, "key").select("key", "c", "n", F.col("l.c").alias("c0"), F.col("l.n").alias("n0")))
     alike = F.least("n", "n0") * 100 >= F.greatest("n", "n0") * percent
     pairs = scratch.write(buckets.filter((F.col("c") != F.col("c0")) & alike).select("c", "c0").distinct())
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select("c").union(pairs.select("c0")).distinct()
+    def text_of(need: DataFrame) -> DataFrame:
+        """(c, text) of the classes in ``need``."""
         where = need.join(classes.select("c", "id", "h"), "c")
         keyed = texts.withColumn("id", F.coalesce("id", F.lit(_NULL)))
-        text = scratch.write(keyed.join(where.hint("merge"), ["id", "h"]).select("c", "text").dropDuplicates(["c"]))
-        left = pairs.join(text.hint("merge"), "c").select("c", "text", "c0")
-        both = left.join(text.select(F.col("c").alias("c0"), F.col("text").alias("text0")).hint("merge"), "c0")
-        out = scratch.write(both.select("c", "text", "c0", "text0").mapInArrow(_verify(percent), "a binary, b binary"))
-        scratch.drop(text)
-        return out
-
-    links = verified(pairs)
+        return keyed.join(where.hint("merge"), ["id", "h"]).select("c", "text").dropDuplicates(["c"])
+
+    text = scratch.write(text_of(pairs.select("c").union(pairs.select("c0")).distinct()))
+    left = pairs.join(text.hint("merge"), "c").select("c", "text", "c0")
+    both = left.join(text.select(F.col("c").alias("c0"), F.col("text").alias("text0")).hint("merge"), "c0")
+    links = scratch.write(both.select("c", "text", "c0", "text0").mapInArrow(_verify(percent), "a binary, b binary"))
+    scratch.drop(text)
     labels = connected_components(links, scratch)
-    placed = buckets.select("key", "band", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    placed = buckets.select("key", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("key", "size")
     if mixed.head(1):
-        inside = placed.join(mixed, "key").join(classes.select("c", "n", "sk"), "c")
-        salted = inside.withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") * 1.25 / _BLOCK))).select("key", "band", "salt", "comp", "c", "n", "sk")
-        blocks = salted.repartition("key", "salt").sortWithinPartitions("key", "band", "salt").mapInArrow(_block_rows, "key long, band int, comps binary, cs binary, ns binary, sks binary")
-        blocks = scratch.write(blocks.withColumn("block", F.monotonically_increasing_id()))
-        other = blocks.select("key", *(F.col(x).alias(f"{x}1") for x in ("block", "comps", "cs", "ns", "sks")))
-        found = blocks.join(other, "key").filter("block <= block1").mapInArrow(_cross(percent, bands, rows), "c binary, c0 binary").distinct()
-        more = scratch.write(found.join(pairs, ["c", "c0"], "left_anti").join(pairs.select(F.col("c0").alias("c"), F.col("c").alias("c0")), ["c", "c0"], "left_anti"))
-        if more.head(1):
-            links = scratch.write(links.union(verified(more)))
-            labels = connected_components(links, scratch)
+        links = scratch.write(links.union(_residual(placed.join(mixed, "key"), classes, text_of, percent, t, scratch)))
+        labels = connected_components(links, scratch)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "c")
     named = classes.select("c", "id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = named.groupBy("comp").agg(F.min("id").alias("component"))
