@@ -22,6 +22,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_digest
 
@@ -58,6 +64,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .editcount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_table
 
@@ -66,12 +78,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_substring_dedup,
+    op2_license_scan,
     op3_source_mixing,
     op4_language_id,
     op5_benchmark_decontamination,
     op6_quality_rules,
     op7_minhash_neardup,
     op8_html_extraction,
+    op9_token_counts,
     op10_token_output,
 )
 
