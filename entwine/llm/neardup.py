@@ -12,7 +12,7 @@ similarity, and a large set costs one or two rounds.
 3. Each class is paired with the leader (least id) of each of its buckets: as many pairs as
    rows, whatever the bucket's size.  Pairs are verified on the full shingle sets, and
    verified links joined to components.
-4. Where members of a bucket remain in different components, blocks of up to 512 members are
+4. Where members of a bucket remain in different components, blocks of up to 2048 members are
    compared with each other: pairs from different components with at least half of the
    sketch's coordinates equal (a pair at 0.75 fails this once in a million) are verified on
    the full sets there and then, and only links leave the task.  So no bucket is capped and no
@@ -42,7 +42,7 @@ from .common import Scratch, arrow_rows, partitions
 from .components import connected_components
 
 _NULL = -(2**63)
-_BLOCK, _BLOCK_BYTES = 512, 1 << 21
+_BLOCK, _BLOCK_BYTES = 2048, 1 << 22
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -221,26 +221,32 @@ def _cross(least: int, t: int):
 
 
 def _residual(inside: DataFrame, classes: DataFrame, text_of, percent: int, t: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between different components of one bucket; ``inside`` has key, size, c, comp.
+    """Links (a, b) between different components of one bucket; ``inside`` has key, c, comp.
 
-    A member lies in one block only, next to the members of its largest bucket; two blocks
-    meet if a bucket has members in both.
+    A member lies in one block only, next to members of its buckets; two blocks meet if a
+    bucket has members in both.
     """
     spark = inside.sparkSession
-    inside = scratch.write(inside.select("key", "size", "c", "comp"))
-    placed = inside.groupBy("c").agg(F.max(F.struct("size", "key")).alias("a"), F.min("comp").alias("comp"))
+    inside = scratch.write(inside.select("key", "c", "comp"))
+    # members whose buckets overlap get one label, so that most of them share a block
+    mine = inside.groupBy("c").agg(F.min("key").alias("l"), F.min("comp").alias("comp"))
+    shared = inside.select("key", "c").join(mine.select("c", "l"), "c").groupBy("key").agg(F.min("l").alias("l"))
+    label = inside.select("key", "c").join(shared, "key").groupBy("c").agg(F.min("l").alias("label"))
+    placed = scratch.write(mine.join(label, "c"))
     sets = text_of(placed.select("c")).mapInArrow(_set_of, "c binary, set binary")
-    members = placed.join(classes.select("c", "n", "sk"), "c").join(sets, "c").select("a.size", "a.key", "comp", "c", "n", "sk", "set")
+    members = placed.join(classes.select("c", "n", "sk"), "c").join(sets, "c").select("label", "l", "comp", "c", "n", "sk", "set")
     members = scratch.write(members)
-    blocks = scratch.write(members.repartitionByRange(partitions(spark), "size", "key", "c").sortWithinPartitions("size", "key", "c").mapInArrow(_block_rows, _BLOCK_DDL))
+    blocks = scratch.write(members.repartitionByRange(partitions(spark), "label", "l", "c").sortWithinPartitions("label", "l", "c").mapInArrow(_block_rows, _BLOCK_DDL))
     member_block = blocks.select("block", "cs").mapInArrow(_block_members, "block long, c binary")
     touched = inside.select("key", "c").join(member_block, "c").select("key", "block").distinct()
-    meet = touched.join(touched.withColumnRenamed("block", "block1"), "key").filter("block <= block1").select("block", "block1").distinct()
-    other = blocks.select(*(F.col(x).alias(f"{x}1") for x in blocks.columns))
-    arrow_rows(spark, 4)
-    links = scratch.write(meet.join(blocks.hint("merge"), "block").join(other.hint("merge"), "block1").mapInArrow(_cross(percent, t), "a binary, b binary"))
+    meet = touched.join(touched.withColumnRenamed("block", "block1"), "key").filter("block < block1").select("block", "block1").distinct()
+    other = [F.col(x).alias(f"{x}1") for x in blocks.columns]
+    alone = blocks.select("*", *other)
+    pairs = meet.join(blocks.hint("merge"), "block").join(blocks.select(*other).hint("merge"), "block1").select(*alone.columns)
+    arrow_rows(spark, 2)
+    links = scratch.write(alone.union(pairs).mapInArrow(_cross(percent, t), "a binary, b binary"))
     arrow_rows(spark)
-    scratch.drop(inside, members, blocks)
+    scratch.drop(inside, placed, members, blocks)
     return links
 
 
@@ -277,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 24, rows: i
     scratch.drop(text)
     labels = connected_components(links, scratch)
     placed = buckets.select("key", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("key", "size")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     if mixed.head(1):
         links = scratch.write(links.union(_residual(placed.join(mixed, "key"), classes, text_of, percent, t, scratch)))
         labels = connected_components(links, scratch)
