@@ -417,6 +417,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     )
     pieces = scratch.write(keyed.select("id", "h", "text").join(marks, ["id", "h"]).mapInArrow(_pieces(window), _PIECE_DDL))
     refs = pieces.filter("is_ref").select("id0", "h0", F.col("at").alias("r_at"), F.col("upto").alias("r_upto"), F.col("words").alias("r_words")).dropDuplicates(["id0", "h0"])
+    refs = scratch.write(refs)  # so that both sides of the join are plain exchanges, which Spark can split where one reference is hot
     met = pieces.filter("not is_ref").drop("is_ref").join(refs.hint("merge"), ["id0", "h0"])
     found = scratch.write(met.mapInArrow(_match(window), _FOUND_DDL))
     rest = _links(found.select("id", "h", "rest", "rest_key").mapInArrow(_pack_rest(buckets), _PACKED_DDL), n)
@@ -424,7 +425,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         found.select("id", "h", "at").union(rest.groupBy("id", "h").agg(F.collect_set("pos").alias("p")).mapInArrow(_pack_pos, "id long, h long, at binary"))
         .filter(F.length("at") > 0).groupBy("id", "h").agg(F.collect_list("at").alias("at"))
     )
-    scratch.drop(links, pieces, found)
+    scratch.drop(links, pieces, refs, found)
     joined = keyed.join(gone, ["id", "h"], "left").select(F.when(F.col("has_id"), F.col("id")).alias("doc_id"), "text", "at")
     text = "kept_text string, " if with_text else ""
     return joined.mapInArrow(_remove(window, with_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string, {text}spans array<struct<start: int, end: int>>")
