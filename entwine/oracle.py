@@ -192,7 +192,9 @@ def idf_cte(col: str, name: str) -> str:
     return f"""{name} AS MATERIALIZED (SELECT token, ln((n+1)/(df+1)::double)+1 AS idf FROM (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({col})) AS token FROM corpus) GROUP BY token), (SELECT count(*) AS n FROM corpus))"""
 
 
-FEATURES_BASE = f"WITH {DOCS}, {tok_cte('docs', join=False)}, {keys_cte('tok')}, {pairs_cte(100)}, corpus AS MATERIALIZED (SELECT sn AS nt, sa AS atk FROM body UNION ALL SELECT nt, atk FROM tok WHERE src>0), {idf_cte('nt', 'idf_nt')}, {idf_cte('atk', 'idf_at')}"
+# names without accents, as jaro_winkler_similarity compares bytes
+PLAIN = DOCS.replace("docs AS (", "accented AS (", 1) + f", docs AS (SELECT * REPLACE ({strip_accents('business_name')} AS business_name) FROM accented)"
+FEATURES_BASE = f"WITH {PLAIN}, {tok_cte('docs', join=False)}, {keys_cte('tok')}, {pairs_cte(100)}, corpus AS MATERIALIZED (SELECT sn AS nt, sa AS atk FROM body UNION ALL SELECT nt, atk FROM tok WHERE src>0), {idf_cte('nt', 'idf_nt')}, {idf_cte('atk', 'idf_at')}"
 
 
 def weighted(a: str, b: str, idf: str, default: float) -> str:

@@ -271,9 +271,12 @@ def head_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidate pairs by the trainer's rules, and both weight tables."""
-    records = R.er_docs(spark, sf_dir)
-    pairs = P.training_pairs(_side(records, True), _side(records, False))
+    """Candidate pairs by the trainer's rules, and both weight tables.
+
+    Names are made plain first, as the oracle's Jaro-Winkler compares bytes.
+    """
+    records = R.er_docs(spark, sf_dir).withColumn("business_name", T.strip_accents(F.col("business_name")))
+    pairs = P.training_pairs(_side(records, True), _side(records, False)).persist()  # read once per side and weight table
     return (pairs, *P.weights(pairs, _side(records, False)))
 
 
