@@ -101,7 +101,7 @@ def split_words(data: np.ndarray, bounds: np.ndarray, hashes: bool = True, insid
     return Words(data, start, end, np.searchsorted(start, bounds), runs(_BYTE[data], start, end, _BASE) if hashes else None)
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, bounds) of successive slices of a string column.
 
     A slice holds ``most`` bytes, or one document if that is longer.  Null is an empty text.
