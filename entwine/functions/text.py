@@ -31,6 +31,11 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(to), many
 
 
+def _lookup(table: dict[str, str]) -> Column:
+    """A constant map in three nodes; a map built of literals would slow every plan that holds it."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -39,7 +44,7 @@ def strip_accents(c: Column) -> Column:
     """Compatibility decomposition, then everything beyond ASCII dropped; null becomes empty."""
     c = _text(c)
     one, to, many = _decompositions()
-    longer = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
+    longer = _lookup(many)
     spread = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(longer[ch], ch)), "")
     spread = F.when(c.rlike("[" + "".join(many) + "]"), spread).otherwise(c)
     plain = F.regexp_replace(F.translate(spread, one, to), r"[^\x00-\x7F]", "")
@@ -70,7 +75,7 @@ def join_hyphen_digits(c: Column) -> Column:
 
 
 def _tokens(normal: Column, stop: list[str]) -> Column:
-    alias = F.create_map(*(F.lit(x) for pair in ADDRESS_ALIASES.items() for x in pair))
+    alias = _lookup(ADDRESS_ALIASES)
     named = F.transform(F.split(normal, " "), lambda t: F.coalesce(alias[t], t))
     return F.filter(named, lambda t: ((F.length(t) > 1) | t.rlike("^[0-9]$")) & ~t.isin(stop))
 
