@@ -90,8 +90,9 @@ def address_tokens(c: Column, join_hyphens: bool = True) -> Column:
 
 def extract_city(c: Column) -> Column:
     """The last two words of the normalised address, or all of them if there are fewer."""
-    words = F.split(normalize_text(c), " ")
-    return F.when(F.size(words) > 2, F.array_join(F.slice(words, -2, 2), " ")).otherwise(normalize_text(c))
+    normal = normalize_text(c)
+    words = F.split(normal, " ")
+    return F.when(F.size(words) > 2, F.array_join(F.slice(words, -2, 2), " ")).otherwise(normal)
 
 
 def _numbers(tokens: Column) -> Column:

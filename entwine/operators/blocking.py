@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 
 from ..functions import sets as S
 from ..functions import text as T
+from ..functions.cache import per_jvm
 
 SEP = "\x01"
 KEY = ["family", "country", "key"]
 
 
+@per_jvm
+def _token_columns(join_hyphens: bool) -> tuple[dict[str, Column], dict[str, Column]]:
+    numbers = T.bldg_postal(F.col("addr_tok"))
+    first = {"name_tok": T.name_tokens(F.col("business_name")), "addr_tok": T.address_tokens(F.col("business_address"), join_hyphens)}
+    return first, {"compact": T.compact(F.col("name_tok")), "bldg": numbers["bldg"], "postal": numbers["postal"]}
+
+
 def tokenized(records: DataFrame, join_hyphens: bool = True) -> DataFrame:
     """Adds name_tok, addr_tok, compact, bldg and postal."""
-    out = records.withColumns({"name_tok": T.name_tokens(F.col("business_name")), "addr_tok": T.address_tokens(F.col("business_address"), join_hyphens)})
-    numbers = T.bldg_postal(F.col("addr_tok"))
-    return out.withColumns({"compact": T.compact(F.col("name_tok")), "bldg": numbers["bldg"], "postal": numbers["postal"]})
+    first, then = _token_columns(join_hyphens)
+    return records.withColumns(first).withColumns(then)
 
 
 def key_array(country: Column, name: Column, addr: Column) -> Column:
@@ -58,10 +65,15 @@ def key_array(country: Column, name: Column, addr: Column) -> Column:
     return F.concat(found, long)
 
 
+@per_jvm
+def _keys_column(null_country: str | None) -> Column:
+    country = F.coalesce("country", F.lit(null_country)) if null_country is not None else F.col("country")
+    return F.explode(key_array(country, F.col("name_tok"), F.col("addr_tok"))).alias("k")
+
+
 def with_keys(tokens: DataFrame, columns: Iterable[str], null_country: str | None = None) -> DataFrame:
     """One row for each key of a tokenised record.  ``null_country`` stands in for a missing country."""
-    country = F.coalesce("country", F.lit(null_country)) if null_country is not None else F.col("country")
-    keys = tokens.select(*columns, F.explode(key_array(country, F.col("name_tok"), F.col("addr_tok"))).alias("k"))
+    keys = tokens.select(*columns, _keys_column(null_country))
     return keys.select(*columns, "k.*")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sets as S
 from ..functions import text as T
+from ..functions.cache import per_jvm
 from ..functions.distance import jaro_winkler
 
 NAME_DEFAULT, ADDRESS_DEFAULT = 6.0, 4.0
@@ -46,28 +47,33 @@ def _flag(c: Column) -> Column:
 
 def pair_features(pairs: DataFrame, classic: bool = True, as_float: bool = True) -> DataFrame:
     """Adds FEATURES to pairs with s_ and t_ columns business_name, business_address, name_tok, addr_tok, name_w, addr_w."""
+    first, then = _feature_columns()
+    names = F.col("s_business_name"), F.col("t_business_name")
+    out = pairs.withColumns(first).withColumns({**then, "jw": jaro_winkler(T.raw_prefix(names[0], 40), T.raw_prefix(names[1], 40), classic)})
+    return out.withColumns({c: F.col(c).cast("float") for c in FEATURES}) if as_float else out
+
+
+@per_jvm
+def _feature_columns() -> tuple[dict[str, Column], dict[str, Column]]:
     sn, tn, sa, ta = (F.col(c) for c in ("s_name_tok", "t_name_tok", "s_addr_tok", "t_addr_tok"))
     names, addrs = (F.col("s_business_name"), F.col("t_business_name")), (F.col("s_business_address"), F.col("t_business_address"))
     sd, td = S.digit_tokens(sa), S.digit_tokens(ta)
     city, other = T.extract_city(addrs[0]), T.extract_city(addrs[1])
-    out = pairs.withColumns(
-        {
-            "nd": S.dice(sn, tn),
-            "w_nd": _weighted(sn, tn, F.col("s_name_w"), F.col("t_name_w")),
-            "nj": S.jaccard(sn, tn),
-            "ad": S.dice(sa, ta),
-            "w_ad": _weighted(sa, ta, F.col("s_addr_w"), F.col("t_addr_w")),
-            "aj": S.jaccard(sa, ta),
-            "num_m": _flag(S.overlaps(sd, td)),
-            "num_conf": _flag(S.conflicts(sd, td)),
-            "lr_n": S.length_ratio(*names),
-            "lr_a": S.length_ratio(*addrs),
-            "cm": _flag((city != "") & (city == other)),
-        }
-    )
+    first = {
+        "nd": S.dice(sn, tn),
+        "w_nd": _weighted(sn, tn, F.col("s_name_w"), F.col("t_name_w")),
+        "nj": S.jaccard(sn, tn),
+        "ad": S.dice(sa, ta),
+        "w_ad": _weighted(sa, ta, F.col("s_addr_w"), F.col("t_addr_w")),
+        "aj": S.jaccard(sa, ta),
+        "num_m": _flag(S.overlaps(sd, td)),
+        "num_conf": _flag(S.conflicts(sd, td)),
+        "lr_n": S.length_ratio(*names),
+        "lr_a": S.length_ratio(*addrs),
+        "cm": _flag((city != "") & (city == other)),
+    }
     score = 2.6 * F.col("nd") + 2.2 * F.col("nj") + 1.4 * F.col("ad") + 1.1 * F.col("aj") + 1.0 + 0.6 * F.col("cm")
-    out = out.withColumns({"jw": jaro_winkler(T.raw_prefix(names[0], 40), T.raw_prefix(names[1], 40), classic), "comp": score, "w_nd_x_w_ad": F.col("w_nd") * F.col("w_ad")})
-    return out.withColumns({c: F.col(c).cast("float") for c in FEATURES}) if as_float else out
+    return first, {"comp": score, "w_nd_x_w_ad": F.col("w_nd") * F.col("w_ad")}
 
 
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sets as S
 from ..functions import text as T
+from ..functions.cache import per_jvm
 from ..functions.distance import jaro_winkler
 from .blocking import KEY, block_join, pruned, tokenized, with_keys
 
@@ -38,29 +39,35 @@ def with_bodies(pairs: DataFrame, s1: DataFrame, targets: DataFrame, more: list[
     return pairs.join(s, "s_row").join(t, "t_row")
 
 
+@per_jvm
 def name_gate() -> Column:
     """False where both names have tokens and share none."""
     return ~S.conflicts(F.col("s_name_tok"), F.col("t_name_tok"))
 
 
+@per_jvm
 def bldg_veto() -> Column:
     return S.conflicts(F.col("s_bldg"), F.col("t_bldg"))
 
 
+@per_jvm
 def postal_veto() -> Column:
     return S.conflicts(F.col("s_postal"), F.col("t_postal"))
 
 
+@per_jvm
+def _score_columns() -> dict[str, Column]:
+    return {
+        "nd": S.gate_dice(F.col("s_name_tok"), F.col("t_name_tok")),
+        "ad": S.dice(F.col("s_addr_tok"), F.col("t_addr_tok")),
+        "bldg_match": S.overlaps(F.col("s_bldg"), F.col("t_bldg")),
+        "postal_match": S.overlaps(F.col("s_postal"), F.col("t_postal")),
+    }
+
+
 def with_scores(pairs: DataFrame) -> DataFrame:
     """Adds nd, ad and the match flags."""
-    return pairs.withColumns(
-        {
-            "nd": S.gate_dice(F.col("s_name_tok"), F.col("t_name_tok")),
-            "ad": S.dice(F.col("s_addr_tok"), F.col("t_addr_tok")),
-            "bldg_match": S.overlaps(F.col("s_bldg"), F.col("t_bldg")),
-            "postal_match": S.overlaps(F.col("s_postal"), F.col("t_postal")),
-        }
-    )
+    return pairs.withColumns(_score_columns())
 
 
 def is_candidate() -> Column:
@@ -99,20 +106,25 @@ def _jw_match(jw: Column) -> Column:
     return ((jw >= 0.92) & (F.col("ad") >= 0.80)) | ((jw >= 0.88) & F.col("bldg_match") & (F.col("ad") >= 0.50))
 
 
-def decided(pairs: DataFrame, classic: bool = True) -> DataFrame:
-    """Pairs that pass gate and vetoes, with candidate, tier (1 exact, 2 domain, 3 typo, 0 none) and is_match."""
-    live = with_scores(pairs.filter(name_gate() & ~bldg_veto() & ~postal_veto()))
+@per_jvm
+def _decision_columns() -> tuple:
+    """Filter of live pairs; tiers; decision without Jaro-Winkler; names where it is needed; decision."""
     tier = F.when(exact_name(), 1).when(domain_name(), 2).when(typo_reach(), 3).otherwise(0)
-    live = live.withColumn("candidate", is_candidate()).withColumn("tier", tier)
     plain = F.when(F.col("tier") == 1, exact_match()).when(F.col("tier") == 2, domain_match()).when(F.col("tier") == 3, typo_without_jw()).otherwise(False)
-    live = live.withColumn("plain", plain)
     # only pairs whose decision hangs on it reach the UDF with their names
     asks = (F.col("tier") == 3) & ~F.col("plain") & ((F.col("ad") >= 0.80) | (F.col("bldg_match") & (F.col("ad") >= 0.50)))
-    live = live.filter("candidate or plain or tier = 3")
-    live = live.withColumn("_a", F.when(asks, T.raw_prefix(F.col("s_business_name"), 35))).withColumn("_b", F.when(asks, T.raw_prefix(F.col("t_business_name"), 35)))
+    names = {"_a": F.when(asks, T.raw_prefix(F.col("s_business_name"), 35)), "_b": F.when(asks, T.raw_prefix(F.col("t_business_name"), 35))}
+    match = {"is_match": F.col("plain") | F.coalesce(_jw_match(F.col("jw")), F.lit(False))}
+    return name_gate() & ~bldg_veto() & ~postal_veto(), {"candidate": is_candidate(), "tier": tier}, {"plain": plain}, names, match
+
+
+def decided(pairs: DataFrame, classic: bool = True) -> DataFrame:
+    """Pairs that pass gate and vetoes, with candidate, tier (1 exact, 2 domain, 3 typo, 0 none) and is_match."""
+    live, tiers, plain, names, match = _decision_columns()
+    live = with_scores(pairs.filter(live)).withColumns(tiers).withColumns(plain).filter("candidate or plain or tier = 3").withColumns(names)
     kept = ["s_row", "t_row", "s_entity_id", "t_entity_id", "candidate", "tier", "plain", "nd", "ad", "bldg_match", "postal_match", "_a", "_b"]
-    live = live.select(*kept).withColumn("jw", jaro_winkler(F.col("_a"), F.col("_b"), classic)).drop("_a", "_b")
-    return live.withColumn("is_match", F.col("plain") | F.coalesce(_jw_match(F.col("jw")), F.lit(False))).drop("plain")
+    live = live.select(*kept).withColumn("jw", jaro_winkler(F.col("_a"), F.col("_b"), classic))
+    return live.withColumns(match).drop("plain", "_a", "_b")
 
 
 def first_per_entity(pairs: DataFrame, most: int) -> DataFrame:
@@ -142,6 +154,7 @@ def output_rows(s1: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
     return out.select("src", "rowno", F.col("entity_id").alias("source1_entity_id"), F.coalesce(column, F.lit("")).alias(column))
 
 
+@per_jvm
 def pair_score() -> Column:
     """Weighted name, address, country and city agreement of a pair with s_ and t_ columns; 0 across countries."""
     sn, tn, sa, ta = (F.col(c) for c in ("s_name_tok", "t_name_tok", "s_addr_tok", "t_addr_tok"))
