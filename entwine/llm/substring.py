@@ -419,7 +419,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     refs = pieces.filter("is_ref").select("id0", "h0", F.col("at").alias("r_at"), F.col("upto").alias("r_upto"), F.col("words").alias("r_words")).dropDuplicates(["id0", "h0"])
     refs = scratch.write(refs)  # so that both sides of the join are plain exchanges, which Spark can split where one reference is hot
     met = pieces.filter("not is_ref").drop("is_ref").join(refs.hint("merge"), ["id0", "h0"])
+    arrow_rows(spark, 32)  # a row carries two passages, each as long as a document
     found = scratch.write(met.mapInArrow(_match(window), _FOUND_DDL))
+    arrow_rows(spark)
     rest = _links(found.select("id", "h", "rest", "rest_key").mapInArrow(_pack_rest(buckets), _PACKED_DDL), n)
     gone = scratch.write(
         found.select("id", "h", "at").union(rest.groupBy("id", "h").agg(F.collect_set("pos").alias("p")).mapInArrow(_pack_pos, "id long, h long, at binary"))
