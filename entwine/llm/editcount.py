@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
-CACHE = 300_000
+CACHE = 800_000
 _BLOCK, _SPLIT = 64, 512
 _BACK = 2
 

@@ -14,7 +14,7 @@ from itertools import repeat
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 800_000
 _OPEN: dict[str, PieceCache] = {}
 
 
