@@ -262,8 +262,8 @@ def _pieces(window: int):
         for batch in batches:
             ids, hs = _ids(batch.column(0)), batch.column(1).to_numpy()
             marks = batch.column(3)
-            out: list[list] = [[] for _ in _PIECE]
             for i, j, data, bounds in K.slices(batch.column(2)):
+                out: list[list] = [[] for _ in _PIECE]
                 words = K.split_words(data, bounds)
                 for k in range(i, j):
                     flat = marks[k].values
@@ -282,8 +282,8 @@ def _pieces(window: int):
                         body = np.concatenate([mine[x:y] for x, y in zip(lo, hi, strict=True)])
                         for to, x in zip(out, (ref, ids[k] if ref else id0[s], hs[k] if ref else h0[s], ids[k], hs[k], lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes(), b"" if ref else p.astype(np.int32).tobytes(), body.tobytes()), strict=True):
                             to.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PIECE, strict=True)], schema=_PIECE)
+                if out[0]:  # a batch for each slice, so that batches stay small
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PIECE, strict=True)], schema=_PIECE)
 
     return run
 
