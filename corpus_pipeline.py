@@ -5,7 +5,7 @@ rows to the shared folder and reads them again as the next stage's docs.  Every
 on all rows its predecessor kept.  All but the last return the columns of ``documents``.
 
 1. language ID: drops documents without a letter and those whose language is uncertain.
-2. near-dedup: keeps the first document of each group of near copies, one row per id.
+2. near-dedup: keeps the first document of each group of near copies, one row per id and text.
 3. decontamination: drops documents that hold a benchmark item.
 4. mixing: sources in their target shares; a document taken twice is two rows, one cut short
    by its source's target keeps the words taken.

@@ -250,12 +250,17 @@ def _residual(inside: DataFrame, classes: DataFrame, text_of, percent: int, t: i
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 24, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept, n_links (links of its class found on verified pairs), text_hash.
 
     Documents are linked at a Jaccard similarity of their 5-word shingle sets of ``percent``
     or more.  See the module's text for method and defined results.
     """
+    return _marked(docs, **options).drop("first")
+
+
+def _marked(docs: DataFrame, percent: int = 75, bands: int = 24, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``near_duplicates`` with ``first``: id and text are the least of their component, or there are no shingles."""
     spark = docs.sparkSession
     arrow_rows(spark)
     scratch = Scratch(spark, "neardup")
@@ -288,9 +293,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 24, rows: i
         links = scratch.write(links.union(_residual(placed.join(mixed, "key"), classes, text_of, percent, t, scratch)))
         labels = connected_components(links, scratch)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "c")
-    named = classes.select("c", "id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    least = named.groupBy("comp").agg(F.min("id").alias("component"))
-    by_class = scratch.write(named.join(least, "comp").join(degree, "c", "left").select("c", "component", "n_links"))
+    named = classes.select("c", "id", "h").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    least = named.groupBy("comp").agg(F.min(F.struct("id", "h")).alias("l")).select("comp", F.col("l.id").alias("component"), F.col("l.h").alias("first_h"))
+    by_class = scratch.write(named.join(least, "comp").join(degree, "c", "left").select("c", "component", "first_h", "n_links"))
     scratch.drop(classes, buckets, pairs)
     out = sets.drop("bands", "sk").join(by_class, "c", "left")
     component = F.coalesce("component", "id")
@@ -302,12 +307,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 24, rows: i
         (component == F.col("id")).alias("kept"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.col("h").alias("text_hash"),
+        (F.col("component").isNull() | ((F.col("component") == F.col("id")) & (F.col("first_h") == F.col("h")))).alias("first"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group, one row for each id; all columns stay."""
+    """The rows of ``docs`` whose document is the first of its group, one row for each id and text; all columns stay.
+
+    A component keeps its least id, and of rows that share that id the least text hash.  Rows
+    of different components, and rows without shingles, stay whether they share an id or have none.
+    """
     id_col = options.get("id_col", "doc_id")
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).groupBy("_id").agg(F.min("_h").alias("_h"))
+    kept = _marked(docs, **options).filter("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
     match = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(options.get("text_col", "text")) == F.col("_h"))
-    return docs.join(kept.hint("merge"), match, "left_semi").dropDuplicates([id_col])
+    found = docs.join(kept.hint("merge"), match, "left_semi")
+    return found.withColumn("_text_hash", F.xxhash64(options.get("text_col", "text"))).dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

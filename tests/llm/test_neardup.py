@@ -75,6 +75,20 @@ def test_edge_rows(spark):
     assert near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_drop_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(5)
+    lone = [prose(rng, 60) for _ in range(8)]
+    near = prose(rng, 80)
+    rows = [(None, t) for t in lone[:4]] + [(7, t) for t in lone[4:6]] + [(8, lone[6]), (9, lone[7])]
+    want = sorted(rows, key=str) + [(None, ""), (7, ""), (7, None)]
+    rows += [(None, lone[0]), (9, lone[7]), (10, lone[6].upper()), (None, ""), (None, ""), (7, ""), (7, None)]
+    alike = [near + f" tail{k}" for k in range(4)]
+    rows += [(5, t) for t in alike] + [(6, alike[0])]
+    got = [(r.doc_id, r.text) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sum(t in alike for _, t in got) == 1 and {i for i, t in got if t in alike} == {5}
+    assert sorted((x for x in got if x[1] not in alike), key=str) == sorted(want, key=str)
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     for n in (1, 5, 100, 3000):
