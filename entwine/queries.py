@@ -341,5 +341,5 @@ def _scores(spark: SparkSession, sf_dir: str, fit: Callable) -> DataFrame:
     return _ids(L.probabilities(model, data), "label", F.round("probability", 6).alias("probability"))
 
 
-QUERIES["gbt_scores"] = lambda spark, sf_dir: _scores(spark, sf_dir, lambda d: L.fit_gbt(d, trees=20, depth=4))
+QUERIES["gbt_scores"] = lambda spark, sf_dir: _scores(spark, sf_dir, L.fit_gbt)
 QUERIES["lr_scores"] = lambda spark, sf_dir: _scores(spark, sf_dir, L.fit_logistic)

@@ -1,8 +1,10 @@
+import inspect
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from entwine import queries
 from entwine.operators import features as X
 from entwine.operators import metrics as E
 from entwine.operators import model as L
@@ -74,3 +76,9 @@ def test_training_end_to_end(spark, tmp_path):
     assert kept == threshold and 0 < score <= 1 and names.count() and addrs.count()
     again = L.probabilities(model, P.featured(P.training_pairs(s1, targets), names, addrs))
     assert again.filter("probability < 0 or probability > 1").count() == 0
+
+
+def test_gbt_query_fits_the_whole_operator(monkeypatch):
+    monkeypatch.setattr(queries, "_scores", lambda spark, sf_dir, fit: fit)
+    fit = queries.QUERIES["gbt_scores"](None, "")
+    assert {k: p.default for k, p in inspect.signature(fit).parameters.items() if k != "train"} == {"trees": 160, "rate": 0.05, "depth": 6, "seed": 42}
