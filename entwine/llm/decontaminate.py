@@ -227,14 +227,17 @@ class Index:
 
 
 def _search(index: Index, names: list[str]):
+    """Matches of batches whose last column is the text; the columns before it are kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for i, _, data, bounds in K.slices(batch.column(1)):
+            *keys, text = batch.columns
+            for i, _, data, bounds in K.slices(text):
                 hits = index.search(words_of(data, bounds))
                 if hits:
                     d, item, a, b, cost = zip(*hits, strict=True)
-                    columns = [ids.take(pa.array([i + x for x in d])), pa.array([index.ids[x] for x in item], pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(cost, pa.int32())]
+                    at = pa.array([i + x for x in d])
+                    columns = [*(x.take(at) for x in keys), pa.array([index.ids[x] for x in item], pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(cost, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -242,14 +245,20 @@ def _search(index: Index, names: list[str]):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.999, walks: int = 6, coordinates: int = 2, block_words: int = 1 << 20) -> DataFrame:
     """Matches: doc_id, item_id, start, end (words of the document), edits."""
+    return _matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, rate, recall, walks, coordinates, block_words)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.999, walks: int = 6, coordinates: int = 2, block_words: int = 1 << 20) -> DataFrame:
+    """Matches in ``docs``, whose columns are long keys and text: keys, item_id, start, end, edits."""
     spark = docs.sparkSession
     arrow_rows(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.length("text"))).head()[0] or 0
     blocks = 1 + size // (6 * block_words)
-    names = ["doc_id", "item_id", "start", "end", "edits"]
-    ddl = "doc_id long, item_id long, start int, end int, edits int"
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    keys = docs.columns[:-1]
+    names = [*keys, "item_id", "start", "end", "edits"]
+    ddl = ", ".join(f"{k} long" for k in keys) + ", item_id long, start int, end int, edits int"
+    base = docs.select(*keys, F.lower("text").alias("text"))
     out = None
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
@@ -260,6 +269,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, reca
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item; all columns stay.  A null id is never dropped for another row's match."""
-    bad = contamination(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no item; all columns stay.  Rows are told apart by id, null or not, and text."""
+    row = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text")
+    bad = _matches(row, benchmark, **options).select("_id", "_h").distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti").select(*docs.columns)

@@ -100,5 +100,17 @@ def test_edge_rows(spark):
     assert contamination(spark.createDataFrame([], DOC), spark.createDataFrame(rows, BENCH)).count() == 0
 
 
+def test_drops_rows_not_ids(spark):
+    rng = random.Random(6)
+    item = prose(rng, 20)
+    clean = [prose(rng, 40) for _ in range(3)]
+    bad = [f"{prose(rng, 10)} {item} {prose(rng, 10)}" for _ in range(3)]
+    rows = [(None, clean[0]), (None, bad[0]), (1, clean[1]), (1, bad[1]), (2, bad[2]), (3, clean[2]), (None, None), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = decontaminate(docs, spark.createDataFrame([(1, item)], BENCH)).collect()
+    want = [(None, clean[0]), (1, clean[1]), (3, clean[2]), (None, None), (1, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_index_of_nothing():
     assert Index([], 0.2, 0.99, 2, 2).items == []
