@@ -20,6 +20,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, WS), "")), F.lit(0)).cast("long")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column has it (names differ by more than case)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
     """Let Arrow batches hold few rows, since one text can be very long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -28,9 +39,11 @@ def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset and all runs on one machine, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="entwine-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found, True)
