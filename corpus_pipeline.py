@@ -7,16 +7,19 @@ on all rows its predecessor kept.  All but the last return the columns of ``docu
 1. language ID: drops documents without a letter and those whose language is uncertain.
 2. near-dedup: keeps the first document of each group of near copies, one row per id and text.
 3. decontamination: drops documents that hold a benchmark item.
-4. mixing: sources in their target shares; a document taken twice is two rows, one cut short
-   by its source's target keeps the words taken.
-5. token output: writes token segments and returns doc_id, start, n_tokens, ids_crc32.
+4. mixing: sources in their target shares, in the order of the schedule's slots; a document
+   taken twice is two rows, one cut short by its source's target keeps the words taken.
+5. token output: writes token segments in the order in which stage 4 wrote its rows, so that
+   the token stream is the mix, and returns doc_id, start, n_tokens, ids_crc32.
 
-Null ids stay until stage 5, where they come first.  An empty table passes through empty.
+Null ids, repeated ids and further columns, whatever their names, stay through all stages but
+the last.  An empty table passes through empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from entwine.llm.common import Scratch
 from entwine.llm.decontaminate import decontaminate
@@ -30,7 +33,8 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = identify(docs, learn(docs))
-    return found.filter(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(*docs.columns)
+    lang, score = (F.col(f"`{c}`") for c in found.columns[-2:])
+    return found.filter((lang != "und") & (score >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_table(docs)
+    return token_table(docs, stored_order=True)
 
 
 STAGES = [

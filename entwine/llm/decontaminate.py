@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_rows
+from .common import arrow_rows, free_names
 
 _PAD = np.uint64(0)
 #: A walk has left most windows after two thirds of its steps; later ones tell nothing.
@@ -270,6 +270,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: f
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns stay.  Rows are told apart by id, null or not, and text."""
-    row = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text")
-    bad = _matches(row, benchmark, **options).select("_id", "_h").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti").select(*docs.columns)
+    key = free_names(docs.columns, "id", "h")
+    rows = docs.select(F.col("doc_id").cast("long").alias(key[0]), F.xxhash64("text").alias(key[1]), "text")
+    bad = _matches(rows, benchmark, **options).select(*key).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad[key[0]]) & (F.xxhash64(docs["text"]) == bad[key[1]])
+    return docs.join(bad, same, "left_anti").select(*docs.columns)

@@ -14,7 +14,7 @@ learnt from, held_out false.  Null lang: never learnt from.  A language code wit
 family is a family of its own.  Nothing to learn from: every prediction is ``und``, score 0.
 One language only: it is predicted for every text with a letter.  Ties: the more negative
 side, that is the language later in code-point order.  Repeated rows get equal results.
-Other columns are ignored.  An empty table gives an empty result.
+Other columns are ignored, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from . import kernels as K
-from .common import arrow_rows
+from .common import arrow_rows, free_names
 
 # Families of ISO 639-1 codes.
 FAMILIES = {
@@ -187,10 +188,11 @@ def learn(docs: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", text
     return fit(x[order], [lang[i] for i in order])
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs``, then lang_pred and score."""
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` untouched, then the prediction: lang_pred and score, renamed by ``free_names`` if they are taken."""
     arrow_rows(docs.sparkSession)
     at = docs.columns.index(text_col)
+    names = free_names(docs.columns, "lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,12 +202,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 choice, sure = model.predict(features(data, bounds))
                 lang[i + ok] = np.array(model.languages, dtype=object)[choice[ok]]
                 score[i + ok] = sure[ok]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, *names])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([f for f in docs.schema if f.name not in ("lang_pred", "score")]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.select(*(f for f in docs.columns if f not in ("lang_pred", "score"))).mapInArrow(run, schema)
+    schema = StructType(list(docs.schema)).add(names[0], StringType()).add(names[1], DoubleType())
+    return docs.mapInArrow(run, schema)
 
 
 def identify_language(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:

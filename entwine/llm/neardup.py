@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, arrow_rows, partitions
+from .common import Scratch, arrow_rows, free_names, partitions
 from .components import connected_components
 
 _NULL = -(2**63)
@@ -317,8 +317,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     A component keeps its least id, and of rows that share that id the least text hash.  Rows
     of different components, and rows without shingles, stay whether they share an id or have none.
     """
-    id_col = options.get("id_col", "doc_id")
-    kept = _marked(docs, **options).filter("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    match = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(options.get("text_col", "text")) == F.col("_h"))
-    found = docs.join(kept.hint("merge"), match, "left_semi")
-    return found.withColumn("_text_hash", F.xxhash64(options.get("text_col", "text"))).dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    key = free_names(docs.columns, "id", "h")
+    kept = _marked(docs, **options).filter("first").select(F.col("doc_id").alias(key[0]), F.col("text_hash").alias(key[1])).distinct()
+    keyed = docs.withColumns({key[0]: docs[id_col].cast("long"), key[1]: F.xxhash64(text_col)})
+    same = keyed[key[0]].eqNullSafe(kept[key[0]]) & (keyed[key[1]] == kept[key[1]])
+    return keyed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(key).select(*docs.columns)

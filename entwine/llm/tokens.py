@@ -1,14 +1,17 @@
 """Token ids in segment files: a concatenated id array with Elias-Fano document boundaries.
 
-Documents are range-partitioned by id and sorted; each partition writes segments of about
-``segment_ids`` ids (a document is never split, so one longer document is a segment of its
-own).  A segment is one self-contained binary image, held in the ``image`` column of a
+Documents are range-partitioned by id and sorted (or, with ``stored_order``, by their place in
+the table they are read from); each partition writes segments of about ``segment_ids`` ids (a
+document is never split, so one longer document is a segment of its own).  A segment is one self-contained binary image, held in the ``image`` column of a
 Parquet table, so that any store Spark can write to will do and Spark's committer makes a
 lost task's retry safe.  Layout, little-endian:
 
-    "EFT1" | documents u32 | null ids u32 | ids u64 | bytes per id u8 | 3 zero bytes
+    "EFT1" | documents u32 | null ids u32 | ids u64 | bytes per id u8 | plain u8 | 2 zero bytes
     Elias-Fano part of the ends | Elias-Fano part of the document ids above the first
-    first document id i64 | ids
+    first document id i64 | document ids i64, if plain | ids
+
+``plain`` is 1 where document ids do not ascend; they are then stored as they are, with the
+least 64-bit integer for a null id, and the second Elias-Fano part is empty.
 
 An Elias-Fano part holds n ascending values below u: low bits l = floor(log2(u / n)) of each
 value packed, high parts in unary in a bit vector, and the place of every 64th one of the
@@ -94,13 +97,14 @@ class EliasFano:
 
 
 def segment_image(ids: np.ndarray, ends: np.ndarray, docs: np.ndarray, wide: bool) -> bytes:
-    """docs: ascending, with the least 64-bit integer for a null id."""
+    """docs: the least 64-bit integer stands for a null id."""
     nulls = int((docs == _NULL).sum())
-    known = docs[nulls:]
+    plain = bool((docs[1:] < docs[:-1]).any())
+    known = docs[:0] if plain else docs[nulls:]
     first = int(known[0]) if len(known) else 0
     above = (known.view(np.uint64) - np.uint64(first % 2**64)) if len(known) else known.view(np.uint64)
-    head = struct.pack("<4sIIQB3x", b"EFT1", len(docs), nulls, len(ids), 4 if wide else 2)
-    return head + EliasFano.build(ends).to_bytes() + EliasFano.build(above).to_bytes() + struct.pack("<q", first) + ids.astype("<u4" if wide else "<u2").tobytes()
+    head = struct.pack("<4sIIQBB2x", b"EFT1", len(docs), nulls, len(ids), 4 if wide else 2, plain)
+    return head + EliasFano.build(ends).to_bytes() + EliasFano.build(above).to_bytes() + struct.pack("<q", first) + docs.astype("<i8").tobytes() * plain + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
 class Segment:
@@ -108,18 +112,22 @@ class Segment:
 
     def __init__(self, image: bytes):
         raw = memoryview(image)
-        magic, self.n_docs, self.nulls, self.n_ids, width = struct.unpack_from("<4sIIQB3x", raw)
+        magic, self.n_docs, self.nulls, self.n_ids, width, plain = struct.unpack_from("<4sIIQBB2x", raw)
         if magic != b"EFT1":
             raise ValueError("not a token segment")
-        at = struct.calcsize("<4sIIQB3x")
+        at = struct.calcsize("<4sIIQBB2x")
         self.ends, used = EliasFano.from_bytes(raw[at:])
         at += used
         self.above, used = EliasFano.from_bytes(raw[at:])
         at += used
         (self.first,) = struct.unpack_from("<q", raw, at)
+        self.plain = np.frombuffer(raw[at + 8 :], dtype="<i8", count=self.n_docs) if plain else None
+        at += 8 * self.n_docs * plain
         self.ids = np.frombuffer(raw[at + 8 :], dtype="<u4" if width == 4 else "<u2", count=self.n_ids)
 
     def doc_ids(self) -> list[int | None]:
+        if self.plain is not None:
+            return [None if x == _NULL else x for x in self.plain.tolist()]
         known = (self.above.values() + np.uint64(self.first % 2**64)).view(np.int64)
         return [None] * self.nulls + known.tolist()
 
@@ -162,7 +170,7 @@ def encode_texts(path: str, end_id: int, data: np.ndarray, bounds: np.ndarray, l
     return out, ends + np.arange(1, len(ends) + 1)
 
 
-def _segments(path: str, end_id: int, segment_ids: int, wide: bool):
+def _segments(path: str, end_id: int, segment_ids: int, wide: bool, lower_case: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seq, held, n_held = 0, [], 0
@@ -173,14 +181,14 @@ def _segments(path: str, end_id: int, segment_ids: int, wide: bool):
             docs = np.concatenate(docs)
             image = segment_image(np.concatenate(ids), np.concatenate([e + b for e, b in zip(ends, base, strict=True)]), docs, wide)
             known = docs[docs != _NULL]
-            edge = (int(known[0]), int(known[-1])) if len(known) else (None, None)
+            edge = (int(known.min()), int(known.max())) if len(known) else (None, None)
             row = {"part": [part], "seq": [seq], "n_docs": [len(docs)], "n_ids": [n_held], "first_doc": [edge[0]], "last_doc": [edge[1]], "image": [image]}
             return pa.RecordBatch.from_pydict(row, schema=_SEGMENT)
 
         for batch in batches:
             docs = batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
             for i, j, data, bounds in K.slices(batch.column(1)):
-                ids, ends = encode_texts(path, end_id, data, bounds)
+                ids, ends = encode_texts(path, end_id, data, bounds, lower_case)
                 held.append((ids, ends, docs[i:j]))
                 n_held += len(ids)
                 if n_held >= segment_ids:
@@ -196,13 +204,23 @@ _SEGMENT = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.i
 _SEGMENT_DDL = "part int, seq int, n_docs long, n_ids long, first_doc long, last_doc long, image binary"
 
 
-def token_segments(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, segment_ids: int = 1 << 21, vocabulary_size: int = 49408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per segment: part, seq (their order is the order of documents), n_docs, n_ids, first_doc, last_doc, image."""
+def token_segments(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, segment_ids: int = 1 << 21, vocabulary_size: int = 49408, id_col: str = "doc_id", text_col: str = "text", lower_case: bool = True, stored_order: bool = False) -> DataFrame:
+    """One row per segment: part, seq (their order is the order of documents), n_docs, n_ids, first_doc, last_doc, image.
+
+    ``lower_case``: the vocabulary lower-cases and cuts words from marks, as the default one does;
+    a vocabulary that does not needs False.  ``stored_order``: documents come in the order of the
+    files and rows that ``docs`` is read from, which must be a plain scan, not in that of their ids.
+    """
     spark = docs.sparkSession
     arrow_rows(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = base.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return ordered.mapInArrow(_segments(vocabulary or default_path(), end_id, segment_ids, vocabulary_size > 65536), _SEGMENT_DDL)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")] if stored_order else []))
+    if stored_order:
+        order = [F.length("part"), "part", "file", "at"]
+        ordered = base.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("id", "text")
+    else:
+        order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]  # the hash also deals out the rows of one id
+        ordered = base.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(_segments(vocabulary or default_path(), end_id, segment_ids, vocabulary_size > 65536, lower_case), _SEGMENT_DDL)
 
 
 def write_tokens(docs: DataFrame, path: str, **options) -> None:
