@@ -21,8 +21,9 @@ Words are compared by 64-bit hashes.
 
 Defined results.  Null or blank text: no words, nothing removed, kept text empty.  Null id:
 comes before every other id.  Rows that share an id are ordered by a hash of their text;
-identical rows (id and text) count as one document and get the same result each.  Other
-columns of the input are ignored.  An empty table gives an empty result.
+identical rows (id and text) are one document from the first links on, however many they are,
+and get the same result each.  Other columns of the input are ignored, whatever their names.
+Very long texts: read in slices of one document.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,14 +138,6 @@ def anchors(words: K.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return found, key[found]
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_LEAST).to_numpy(zero_copy_only=False)
-
-
-def _text_hash(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return K.runs(K._BYTE[data], bounds[:-1], bounds[1:], K._BASE).view(np.int64)
-
-
 _PACKED = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("id", pa.binary()), ("h", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
 _PACKED_DDL = "bucket int, key binary, id binary, h binary, doc binary, pos binary"
 
@@ -183,14 +176,13 @@ def _find_anchors(window: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list = []
         for batch in batches:
-            ids = _ids(batch.column(0))
-            for i, _, data, bounds in K.slices(batch.column(1)):
+            ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, _, data, bounds in K.slices(batch.column(2)):
                 words = K.split_words(data, bounds)
                 at, key = anchors(words, window)
                 if len(at):
                     doc = np.searchsorted(words.first, at, side="right") - 1
-                    h = _text_hash(data, bounds)
-                    pending.append((key, ids[i + doc], h[doc], at - words.first[doc]))
+                    pending.append((key, ids[i + doc], hs[i + doc], at - words.first[doc]))
                 yield from _emit(pending, n_buckets, 1 << 20, False)
         yield from _emit(pending, n_buckets, 0, True)
 
@@ -218,6 +210,9 @@ def _later_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         key, ident, h, pos = key[keep], ident[keep], h[keep], pos[keep]
         order = np.lexsort((pos, h, ident, key))
         key, ident, h, pos = key[order], ident[order], h[order], pos[order]
+        new = np.ones(len(key), dtype=bool)  # identical rows are one document
+        new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1]) | (h[1:] != h[:-1]) | (pos[1:] != pos[:-1])
+        key, ident, h, pos = key[new], ident[new], h[new], pos[new]
         head = np.ones(len(key), dtype=bool)
         head[1:] = key[1:] != key[:-1]
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
@@ -256,16 +251,23 @@ def _cut(pos: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(window: int):
-    """For a document with links: its reference passages, and its linked passages for each reference document."""
+    """For a document with links: its reference passages, and its linked passages for each reference document.
+
+    Rows come sorted by document; identical ones give one result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            ids, hs = _ids(batch.column(0)), batch.column(1).to_numpy()
+            ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             marks = batch.column(3)
             for i, j, data, bounds in K.slices(batch.column(2)):
                 out: list[list] = [[] for _ in _PIECE]
                 words = K.split_words(data, bounds)
                 for k in range(i, j):
+                    if (ids[k], hs[k]) == last:
+                        continue
+                    last = ids[k], hs[k]
                     flat = marks[k].values
                     kind, pos, id0, h0 = (flat.field(x).to_numpy(zero_copy_only=False) for x in range(4))
                     a, b = words.first[k - i], words.first[k - i + 1]
@@ -406,16 +408,16 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     n = partitions(spark)
     buckets = 4 * n
     scratch = Scratch(spark, "substring")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    links = scratch.write(_links(base.mapInArrow(_find_anchors(window, buckets), _PACKED_DDL), n))
-    keyed = base.mapInArrow(_with_hash, "id long, h long, text string, has_id boolean")
+    ident = F.col(id_col).cast("long")
+    keyed = docs.select(F.coalesce(ident, F.lit(_LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), ident.isNotNull().alias("has_id"))
+    links = scratch.write(_links(keyed.select("id", "h", "text").mapInArrow(_find_anchors(window, buckets), _PACKED_DDL), n))
     marks = (
         links.select("id", "h", F.struct(F.lit(0).alias("kind"), "pos", "id0", "h0").alias("m"))
         .union(links.select("id0", "h0", F.struct(F.lit(1).alias("kind"), F.col("pos0").alias("pos"), F.lit(0).cast("long").alias("id0"), F.lit(0).cast("long").alias("h0")).alias("m")).distinct())
         .groupBy("id", "h")
         .agg(F.collect_list("m").alias("marks"))
     )
-    pieces = scratch.write(keyed.select("id", "h", "text").join(marks, ["id", "h"]).mapInArrow(_pieces(window), _PIECE_DDL))
+    pieces = scratch.write(keyed.select("id", "h", "text").join(marks.hint("merge"), ["id", "h"]).mapInArrow(_pieces(window), _PIECE_DDL))
     refs = pieces.filter("is_ref").select("id0", "h0", F.col("at").alias("r_at"), F.col("upto").alias("r_upto"), F.col("words").alias("r_words")).dropDuplicates(["id0", "h0"])
     refs = scratch.write(refs)  # so that both sides of the join are plain exchanges, which Spark can split where one reference is hot
     met = pieces.filter("not is_ref").drop("is_ref").join(refs.hint("merge"), ["id0", "h0"])
@@ -433,15 +435,6 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     return joined.mapInArrow(_remove(window, with_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string, {text}spans array<struct<start: int, end: int>>")
 
 
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = np.zeros(batch.num_rows, dtype=np.int64)
-        for i, j, data, bounds in K.slices(batch.column(1)):
-            h[i:j] = _text_hash(data, bounds)
-        ids = _ids(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), batch.column(1), batch.column(0).is_valid()], names=["id", "h", "text", "has_id"])
-
-
 def _pack_pos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = [np.asarray(x.values, dtype=np.int32).tobytes() for x in batch.column(2)]

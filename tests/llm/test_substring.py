@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -75,3 +76,14 @@ def test_automaton_matching_statistics():
             assert sizes[e] == best
             if best >= 4:
                 assert ends[e] == min(p + k + 3 for r, p in zip(refs, at) for k in range(len(r) - 3) if r[k : k + 4] == query[e - 3 : e + 1])
+
+
+def test_many_identical_rows_and_long_texts(spark):
+    """Thousands of copies under one id, or none, are one document; a very long text is read whole."""
+    rng = random.Random(8)
+    text, other, long = prose(rng, 300), prose(rng, 60), prose(rng, 60_000)
+    rows = [(5, text)] * 5000 + [(None, other)] * 2000 + [(6, f"{other} tail"), (9, f"{text} tail"), (10, long), (11, long)]
+    began = time.time()
+    out = {(r.doc_id, r.n_words, r.n_removed) for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), with_text=False).collect()}
+    assert out == {(5, 300, 0), (None, 60, 0), (6, 61, 60), (9, 301, 300), (10, 60_000, 0), (11, 60_000, 60_000)}
+    assert time.time() - began < 120
