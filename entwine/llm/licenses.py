@@ -6,14 +6,18 @@ templates once and for every document; a run of five equal words always shares o
 templates' fingerprints form an inverted index.  Hits of a document and template that lie on
 nearby diagonals are one candidate, and a banded alignment around them gives the longest
 common subsequence of words.  A candidate is reported if that covers at least ``coverage`` of
-the template; of reports that overlap by half, the one with more matched words stays, then
-the one with the higher coverage.
+the template within a passage that is as close to its length; the passage is then masked and the candidate is aligned again, until nothing more
+is found, so adjacent copies are found one by one.  Bands are at most as wide as the template
+and overlap by half, so the work grows with the number of copies.  Of reports that overlap by
+half, the one with more matched words stays, then the one with the higher coverage.
 
-The templates are a small table and go to every task; their size is checked (``MOST`` words).
+The templates are a small table (pairs, or a DataFrame with license and text) and go to every
+task; their size is checked (``MOST`` words).
 
 Defined results.  Null or empty text: nothing.  Null id: reported as null.  Templates under
 five words match where all their words are consecutive.  A document that holds a notice twice
-reports it twice.  Repeated rows: each reports.  Other columns are ignored.  An empty table
+reports it twice, next to each other or not.  Repeated rows: each reports.  Other columns are
+ignored, whatever their names.  Very long texts: read whole, one at a time.  An empty table
 gives an empty result.
 """
 
@@ -33,22 +37,46 @@ from .decontaminate import words_of
 GRAM, WINDOW, MOST = 3, 3, 1_000_000
 
 # Notices of public licenses, by SPDX identifier where there is one.
+MIT_TERMS = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+ISC_TERMS = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+ZLIB_TERMS = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+ZLIB_REST = "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+GNU_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+GPL3_TERMS = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+AGPL3_TERMS = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+APACHE_TERMS = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+APACHE_WARRANTY = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 TEMPLATES = (
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", f"{MIT_TERMS} {MIT_WARRANTY}"),
+    ("Apache-2.0", f"{APACHE_TERMS} {APACHE_WARRANTY}"),
+    ("BSD-3-Clause", f"{BSD_TERMS} {BSD_NAMES} {BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{BSD_TERMS} {BSD_NAMES}"),
+    ("BSD-2-Clause", f"{BSD_TERMS} {BSD_WARRANTY}"),
+    ("ISC", f"{ISC_TERMS} {ISC_WARRANTY}"),
+    ("Zlib", f"{ZLIB_TERMS} {ZLIB_REST}"),
+    ("GPL-3.0", f"{GPL3_TERMS} {GNU_WARRANTY}"),
+    ("AGPL-3.0", f"{AGPL3_TERMS} {GNU_WARRANTY}"),
+    ("AGPL-3.0", AGPL3_TERMS),
+    ("MIT", MIT_TERMS),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", APACHE_TERMS),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-3-Clause", BSD_TERMS),
+    ("ISC", ISC_TERMS),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", GPL3_TERMS),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", ZLIB_TERMS),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -77,7 +105,7 @@ def winnow(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def align(template: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
     """(matches, start, end) of the longest common subsequence in the band low <= text place - template place < low + width.
 
-    Of equally long ones, the traceback takes the one that ends first.
+    Of equally long ones, the traceback takes one that ends first and, of those, places near its end.
     """
     n, m = len(template), len(text)
     score = np.zeros((n + 1, width + 2), dtype=np.int32)
@@ -93,12 +121,12 @@ def align(template: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple
     c, i = int(score[n, 1:-1].argmax()) + 1, n
     total, start, end = int(score[n, c]), -1, -1
     while i > 0 and score[i, c] > 0:
-        if score[i, c] == score[i, c - 1] and c > 1:
-            c -= 1
-        elif hits[i, c] and score[i, c] == score[i - 1, c] + 1:
+        if hits[i, c] and score[i, c] == score[i - 1, c] + 1:
             place = i - 1 + low + c - 1
             start, end = place, place + 1 if end < 0 else end
             i -= 1
+        elif score[i, c] == score[i, c - 1] and c > 1:
+            c -= 1
         elif c < width and score[i, c] == score[i - 1, c + 1]:
             i, c = i - 1, c + 1
         else:
@@ -139,13 +167,18 @@ class TemplateIndex:
         for (d, t), diagonals in groups.items():
             n = len(self.words[t])
             text = words.hash[words.first[d] : words.first[d + 1]]
+            own = False
             slack = 0 if n < GRAM + WINDOW - 1 else max(4, n // 8)
-            for a, b in _clusters(sorted(set(diagonals)), n // 2):
+            for a, b in _bands(sorted(set(diagonals)), n):
                 low, high = a - slack, b + slack
                 base = max(0, low)
-                matched, start, end = align(self.words[t], text[base : high + n + 1], low - base, high - low + 1)
-                if matched and matched >= coverage * n and end - start <= 2 * n:
+                while True:
+                    matched, start, end = align(self.words[t], text[base : high + n + 1], low - base, high - low + 1)
+                    if not matched or matched < coverage * n or coverage * (end - start) > n:
+                        break
                     found.setdefault(d, []).append((matched / n, matched, base + start, base + end, self.names[t]))
+                    text, own = text if own else text.copy(), True
+                    text[base + start : base + end] = 0  # a word's hash is odd
         out = []
         for d, reports in found.items():
             kept: list[tuple[float, int, int, int, str]] = []
@@ -156,19 +189,28 @@ class TemplateIndex:
         return out
 
 
-def _clusters(diagonals: list[int], gap: int) -> Iterator[tuple[int, int]]:
-    first = last = diagonals[0]
-    for x in diagonals[1:]:
-        if x - last > gap:
-            yield first, last
-            first = x
-        last = x
-    yield first, last
+def _bands(diagonals: list[int], n: int) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring diagonals, at most n apart; bands of one neighbourhood overlap by half of that."""
+    at = 0
+    for k, x in enumerate(diagonals):
+        if k + 1 < len(diagonals) and diagonals[k + 1] - x <= n // 2:
+            continue
+        low, high = diagonals[at], x
+        at = k + 1
+        while high - low > n:
+            yield low, low + n
+            low += max(1, n // 2)
+        yield low, high
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] | DataFrame = TEMPLATES, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Reports: doc_id, license, coverage, matched, start, end (words of the document)."""
     arrow_rows(docs.sparkSession)
+    if isinstance(templates, DataFrame):
+        table = templates.select("license", "text").filter("license is not null and text is not null")
+        if (table.agg(F.sum(F.length("text"))).head()[0] or 0) > 10 * MOST:
+            raise ValueError(f"the templates hold more than {MOST} words")
+        templates = sorted((r.license, r.text) for r in table.collect())
     index = TemplateIndex(list(templates))
     names = ["doc_id", "license", "coverage", "matched", "start", "end"]
 
