@@ -20,24 +20,21 @@ def similarity(a: str, b: str, classic: bool = True) -> float:
     if a == b:
         return 1.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    places: dict[str, list[int]] = {}
+    places: dict[str, int] = {}  # of each character, its places in b as bits
     for j, ch in enumerate(b):
-        places.setdefault(ch, []).append(j)
-    left, taken = [], []
-    free = {ch: list(js) for ch, js in places.items()}
+        places[ch] = places.get(ch, 0) | 1 << j
+    left, free, window = [], -1, (1 << reach + 1) - 1
     for i, ch in enumerate(a):
-        for k, j in enumerate(free.get(ch, ())):
-            if j > i + reach:
-                break
-            if j >= i - reach:
-                left.append(ch)
-                taken.append(j)
-                del free[ch][k]
-                break
+        near = places.get(ch, 0) & free & window
+        if near:
+            free ^= near & -near
+            left.append(ch)
+        window = window << 1 | 1 if i < reach else window << 1
     m = len(left)
     if not m:
         return 0.0
-    odd = sum(x != b[j] for x, j in zip(left, sorted(taken), strict=True))
+    taken = [ch for j, ch in enumerate(b) if not free >> j & 1]
+    odd = sum(x != y for x, y in zip(left, taken, strict=True))
     moved = odd / 2 if classic else odd // 2
     score = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     prefix = 0
@@ -59,7 +56,8 @@ def _over(classic: bool):
             out.append(known[pair])
         return pd.Series(out, dtype="float64")
 
-    return run
+    # else Spark evaluates it once for a filter on its result and once more for the result
+    return run.asNondeterministic()
 
 
 def jaro_winkler(a: Column, b: Column, classic: bool = True) -> Column:

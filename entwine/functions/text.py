@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .words import ADDRESS_ALIASES, GENERIC_ADDRESS_WORDS, STOPWORDS, TRADING_MARKERS, WEB_SUFFIXES
 
 _WORD = r"[\p{L}\p{N}_]"
+_BEYOND = r"[^\x00-\x7F]"
 
 
 @cache
@@ -40,15 +41,33 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def _ranges(chars: list[str]) -> str:
+    """A regex class of the characters, neighbours joined to ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
 def strip_accents(c: Column) -> Column:
-    """Compatibility decomposition, then everything beyond ASCII dropped; null becomes empty."""
+    """Compatibility decomposition, then everything beyond ASCII dropped; null becomes empty.
+
+    Characters with one ASCII letter or digit in their decomposition are translated, the rest is
+    dropped; only texts that hold one of the few with several are spread out and looked up.
+    """
     c = _text(c)
     one, to, many = _decompositions()
     longer = _lookup(many)
-    spread = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(longer[ch], ch)), "")
-    spread = F.when(c.rlike("[" + "".join(many) + "]"), spread).otherwise(c)
-    plain = F.regexp_replace(F.translate(spread, one, to), r"[^\x00-\x7F]", "")
-    return F.when(c.rlike(r"^[\x00-\x7F]*\z"), c).otherwise(plain)
+    spread = F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(_BEYOND), F.coalesce(longer[ch], ch)).otherwise(ch)), "")
+    beyond = F.regexp_replace(c, r"[\x00-\x7F]+", "")
+    return (
+        F.when(~c.rlike(_BEYOND), c)
+        .when(beyond.rlike(_ranges(list(many))), F.regexp_replace(F.translate(spread, one, to), _BEYOND + "+", ""))
+        .otherwise(F.regexp_replace(F.translate(c, one, to), _BEYOND + "+", ""))
+    )
 
 
 def clean_domain(c: Column) -> Column:

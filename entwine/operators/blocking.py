@@ -92,5 +92,9 @@ def pruned(keys: DataFrame, most: int | None = 100, distinct_of: str | None = No
 
 
 def block_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of both sides for each shared key; equal pairs may repeat.  A null country meets nothing."""
-    return left.join(right, KEY)
+    """Rows of both sides for each shared key; equal pairs may repeat.  A null country meets nothing.
+
+    Both sides are dealt out by key whatever their size: the join makes far more rows than it
+    reads, so its work must not follow the partitions of a small input.
+    """
+    return left.hint("shuffle_hash").join(right, KEY)

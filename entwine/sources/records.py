@@ -112,10 +112,15 @@ def validate(s1: DataFrame, targets: DataFrame, candidates: DataFrame, matches:
     }
 
 
+def _dealt(records: DataFrame) -> DataFrame:
+    """The driver's tables are one row group each; narrow records are dealt out before the costly expressions."""
+    return records.repartition(records.sparkSession.sparkContext.defaultParallelism)
+
+
 def er_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records made of the part table: generic chains, typos, web names, missing addresses."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.selectExpr(
+    records = p.selectExpr(
         "concat('S', 1 + p_partkey % 3, '-', lpad(cast(p_partkey as string), 8, '0')) as entity_id",
         "p_partkey as rowno",
         "cast(p_partkey % 3 as int) as src",
@@ -123,13 +128,15 @@ def er_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when p_partkey % 11 = 4 then null when p_partkey % 13 = 5 then concat(p_type, ' ', 10000 + p_size) else concat(p_size, ' ', p_type, ' ', p_brand, ' ', 10000 + p_size) end as business_address",
         "case when (p_partkey div 3) % 10 = 0 then 'FR' else 'US' end as country",
     )
+    return _dealt(records)
 
 
 def er_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records made of the documents table: accents, near copies, ids over the match cap."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    w = d.withColumn("w", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")).filter(F.size("w") >= 10)
-    return w.selectExpr(
+    # the first ten words are cut out first, as each use of them is evaluated again
+    w = d.withColumn("head", F.regexp_extract("text", r"^\s*+((?:\S++\s++){9}\S++)", 1)).filter("head <> ''").withColumn("w", F.split("head", r"\s+"))
+    records = w.selectExpr(
         "concat('S', 1 + doc_id % 3, '-', lpad(cast(doc_id as string), 8, '0')) as entity_id",
         "doc_id as rowno",
         "cast(doc_id % 3 as int) as src",
@@ -137,3 +144,4 @@ def er_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat(length(w[4]) * 100 + length(w[5]) * 10 + length(w[6]), ' ', array_join(slice(w, 5, 6), ' ')) as business_address",
         "lang as country",
     )
+    return _dealt(records)
