@@ -7,8 +7,8 @@ templates' fingerprints form an inverted index.  Hits of a document and template
 nearby diagonals are one candidate, and a banded alignment around them gives the longest
 common subsequence of words.  A candidate is reported if that covers at least ``coverage`` of
 the template within a passage that is as close to its length; the passage is then masked and the candidate is aligned again, until nothing more
-is found, so adjacent copies are found one by one.  Bands are at most as wide as the template
-and overlap by half, so the work grows with the number of copies.  Of reports that overlap by
+is found, so adjacent copies are found one by one.  Bands are at most half as wide as the
+template is long and overlap by half, so the work grows with the number of copies.  Of reports that overlap by
 half, the one with more matched words stays, then the one with the higher coverage.
 
 The templates are a small table (pairs, or a DataFrame with license and text) and go to every
@@ -102,8 +102,8 @@ def winnow(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.unique(best)
 
 
-def align(template: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
-    """(matches, start, end) of the longest common subsequence in the band low <= text place - template place < low + width.
+def align(template: np.ndarray, text: np.ndarray, low: int, width: int) -> list[int]:
+    """Text places of the longest common subsequence in the band low <= text place - template place < low + width.
 
     Of equally long ones, the traceback takes one that ends first and, of those, places near its end.
     """
@@ -119,11 +119,10 @@ def align(template: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple
         new = np.maximum(score[i - 1, 1:-1] + hits[i, 1:-1], up)
         score[i, 1:-1] = np.maximum.accumulate(new)
     c, i = int(score[n, 1:-1].argmax()) + 1, n
-    total, start, end = int(score[n, c]), -1, -1
+    places = []
     while i > 0 and score[i, c] > 0:
         if hits[i, c] and score[i, c] == score[i - 1, c] + 1:
-            place = i - 1 + low + c - 1
-            start, end = place, place + 1 if end < 0 else end
+            places.append(i - 1 + low + c - 1)
             i -= 1
         elif score[i, c] == score[i, c - 1] and c > 1:
             c -= 1
@@ -131,7 +130,23 @@ def align(template: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple
             i, c = i - 1, c + 1
         else:
             i -= 1
-    return total, start, end
+    return places[::-1]
+
+
+def passage(places: list[int]) -> tuple[int, int, int]:
+    """(matches, start, end) of the stretch of places with the most matches less half the words between them; the first of the best.
+
+    This cuts off words that the alignment took from a neighbour.
+    """
+    best, first, worth = (0, 0, 0, 0), 0, 0
+    for k, p in enumerate(places):
+        worth -= p - places[k - 1] - 1 if k else 0
+        if worth <= 0:
+            first, worth = k, 0
+        worth += 2
+        if worth > best[0]:
+            best = (worth, k + 1 - first, places[first], p + 1)
+    return best[1:]
 
 
 class TemplateIndex:
@@ -173,7 +188,7 @@ class TemplateIndex:
                 low, high = a - slack, b + slack
                 base = max(0, low)
                 while True:
-                    matched, start, end = align(self.words[t], text[base : high + n + 1], low - base, high - low + 1)
+                    matched, start, end = passage(align(self.words[t], text[base : high + n + 1], low - base, high - low + 1))
                     if not matched or matched < coverage * n or coverage * (end - start) > n:
                         break
                     found.setdefault(d, []).append((matched / n, matched, base + start, base + end, self.names[t]))
@@ -190,16 +205,16 @@ class TemplateIndex:
 
 
 def _bands(diagonals: list[int], n: int) -> Iterator[tuple[int, int]]:
-    """Bounds of neighbouring diagonals, at most n apart; bands of one neighbourhood overlap by half of that."""
+    """Bounds of neighbouring diagonals, at most n / 2 apart, so that two copies don't share a band; those of one neighbourhood overlap by half."""
     at = 0
     for k, x in enumerate(diagonals):
         if k + 1 < len(diagonals) and diagonals[k + 1] - x <= n // 2:
             continue
         low, high = diagonals[at], x
         at = k + 1
-        while high - low > n:
-            yield low, low + n
-            low += max(1, n // 2)
+        while high - low > n // 2:
+            yield low, low + n // 2
+            low += max(1, n // 4)
         yield low, high
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from entwine.llm.decontaminate import words_of
-from entwine.llm.licenses import TEMPLATES, TemplateIndex, align, scan_licenses, winnow
+from entwine.llm.licenses import TEMPLATES, TemplateIndex, align, passage, scan_licenses, winnow
 from .fixtures import DOC, documents, prose
 
 
@@ -37,10 +37,12 @@ def test_alignment_is_the_longest_common_subsequence():
     for _ in range(200):
         a = [rng.randrange(5) for _ in range(rng.randrange(1, 12))]
         b = [rng.randrange(5) for _ in range(rng.randrange(1, 15))]
-        got, start, end = align(np.array(a), np.array(b), -len(a), len(a) + len(b) + 1)
-        assert got == lcs(a, b)
+        got = align(np.array(a), np.array(b), -len(a), len(a) + len(b) + 1)
+        assert len(got) == lcs(a, b) == lcs(a, [b[k] for k in got])
         if got:
-            assert lcs(a, b[start:end]) == got
+            worth = {(i, j): 3 * (j + 1 - i) - (got[j] + 1 - got[i]) for i in range(len(got)) for j in range(i, len(got))}
+            n, start, end = passage(got)
+            assert 3 * n - (end - start) == max(worth.values()) and n == sum(start <= k < end for k in got)
 
 
 def test_planted_notices(spark):
