@@ -86,12 +86,14 @@ class Words:
         return at, runs(self.hash, at, at + n, _GRAM)
 
 
-def split_words(data: np.ndarray, bounds: np.ndarray, hashes: bool = True, inside: np.ndarray | None = None) -> Words:
-    """Words of the documents data[bounds[i]:bounds[i + 1]]; ``inside`` marks the bytes of words."""
+def split_words(data: np.ndarray, bounds: np.ndarray, hashes: bool = True, inside: np.ndarray | None = None, cuts: np.ndarray | None = None) -> Words:
+    """Words of the documents data[bounds[i]:bounds[i + 1]]; ``inside`` marks the bytes of words, ``cuts`` places where words end besides."""
     n = len(data)
     inside = ~SPACE[data] if inside is None else inside
     cut = np.zeros(n + 1, dtype=bool)
     cut[bounds] = True
+    if cuts is not None:
+        cut[cuts] = True
     before = np.ones(n, dtype=bool)
     before[1:] = ~inside[:-1]
     after = np.ones(n, dtype=bool)

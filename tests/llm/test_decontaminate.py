@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from entwine.llm.decontaminate import Index, contamination, decontaminate, edits, least_edits
+from entwine.llm.decontaminate import Index, contamination, decontaminate, edits, least_edits, words_of
 from .fixtures import DOC, documents, prose
 
 BENCH = "item_id long, text string"
@@ -29,7 +29,7 @@ def brute(docs, items, rate=0.2):
     for d, text in docs:
         for i, item in items:
             w = words(item)
-            if len(w) >= 3 and distance(w, words(text)) <= edits(len(w), rate):
+            if w and distance(w, words(text)) <= edits(len(w), rate):
                 out.add((d, i))
     return out
 
@@ -48,11 +48,11 @@ def test_least_edits(item, text):
     assert row[-1] == cost
 
 
-def edited(rng, words, n):
+def edited(rng, words, n, new=lambda rng: f"new{rng.random()}"):
     words = list(words)
     for _ in range(n):
         at = rng.randrange(len(words) or 1)
-        words[at : at + 1] = rng.choice([[], [f"new{rng.random()}"], [*words[at : at + 1], f"new{rng.random()}"]])
+        words[at : at + 1] = rng.choice([[], [new(rng)], [*words[at : at + 1], new(rng)]])
     return words
 
 
@@ -112,5 +112,42 @@ def test_drops_rows_not_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
 
 
+def test_scripts_without_spaces(spark):
+    rng = random.Random(8)
+    han, thai = ("".join(chr(rng.randrange(a, b)) for _ in range(30)) for a, b in ((0x4E00, 0x9000), (0x0E01, 0x0E2F)))
+    far = "".join(chr(rng.randrange(0x20000, 0x20F00)) for _ in range(20))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+    docs = [(1, other[:20] + "，" + han + "。" + other[20:]), (2, other), (3, thai[:4] + "ก" + thai[5:] + "x"), (4, "a" + far), (5, han[:10] + "字字" + han[12:]), (6, None)]
+    bench = spark.createDataFrame([(1, han), (2, thai), (3, far)], BENCH)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in contamination(df, bench).collect()}
+    assert got.keys() == {(1, 1), (3, 2), (4, 3), (5, 1)}
+    assert got[1, 1] == got[4, 3] == 0 and got[5, 1] == 2
+    assert sorted(r.doc_id for r in decontaminate(df, bench).collect()) == [2, 6]
+
+
+def test_short_items_are_reported_and_drop_nothing(spark):
+    docs = spark.createDataFrame([(1, "x. Two words, two words"), (2, "words two"), (None, "Lone"), (3, ""), (4, "two; words lone")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "two words"), (2, "LONE"), (3, "lone"), (4, "?!"), (None, None)], BENCH)
+    out = {tuple(r) for r in contamination(docs, bench).collect()}
+    assert out == {(1, 1, 1, 3, 0), (None, 2, 0, 1, 0), (None, 3, 0, 1, 0), (4, 1, 0, 2, 0), (4, 2, 2, 3, 0), (4, 3, 2, 3, 0)}
+    assert decontaminate(docs, bench).count() == 5
+    assert sorted(r.doc_id for r in decontaminate(docs, bench, least_words=2).collect() if r.doc_id) == [2, 3]
+
+
+def test_recall_is_reached_in_every_size_group():
+    rng = random.Random(9)
+    sizes = [40] * 600 + [600, 700, 5, 6, 7]
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for i, n in enumerate(sizes)]
+    index = Index(items, 0.2, 0.999, 6, 2)
+    for i in range(600, 605):
+        found = 0
+        for _ in range(40):
+            text = " ".join(edited(rng, items[i][1].split(), edits(sizes[i], 0.2), lambda r: f"new{r.randrange(10**9)}"))
+            raw = np.frombuffer(text.encode(), dtype=np.uint8)
+            found += any(hit[1] == i for hit in index.search(words_of(raw, np.array([0, len(raw)]))))
+        assert found >= 39
+
+
 def test_index_of_nothing():
     assert Index([], 0.2, 0.99, 2, 2).items == []
