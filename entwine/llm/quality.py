@@ -3,9 +3,10 @@
 Method.  Each text gives the counts that quality rules use.  An isolation forest over shares
 made of them splits random features at random places; texts that few splits set apart are
 anomalous.  The forest is fitted on about ``sample_rows`` labelled rows, chosen by a hash of
-their id (that bound is the only one).  The threshold is the anomaly score at which the share
-of the sample's good rows above it, times ``care``, plus the share of its bad rows below it,
-is least; only rows that pass the base rules count.
+their id (that bound is the only one).  Then all labelled rows are scored and counted by score,
+rounded up to 1 / 65536.  The threshold is the score at which the share of the good rows above
+it, times ``care``, plus the share of the bad rows at or below it, is least, the highest of
+those; only rows that pass the base rules count.
 
 Base rules: fewer than 50 words, or more than half of the words in repeated 3-word windows.
 
@@ -35,6 +36,7 @@ _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punct", "n_upper", "n_distinct"]
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+_BINS = 1 << 16
 
 
 def _grouped(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,16 +157,31 @@ def _base_failed(c: np.ndarray) -> np.ndarray:
     return (c[:, 0] < MIN_WORDS) | (100 * c[:, 4] > REPEAT_PERCENT * c[:, 0])
 
 
-def fit(c: np.ndarray, good: np.ndarray, care: float) -> tuple[IsolationForest, float] | None:
-    """c: COUNTS of labelled rows; good: their labels."""
-    c, good = c[~_base_failed(c)], good[~_base_failed(c)]
-    if not good.any():
+def fit(c: np.ndarray) -> IsolationForest | None:
+    """c: COUNTS of labelled rows."""
+    c = c[~_base_failed(c)]
+    return IsolationForest(shares(c)) if len(c) else None
+
+
+def threshold(bins: list[int], good: list[int], bad: list[int], care: float) -> float | None:
+    """The score to keep up to, from the counts of good and bad rows by score bin; None without good rows."""
+    order = np.argsort(np.array(bins, dtype=np.int64))
+    g, b = (np.array(x, dtype=np.int64)[order] for x in (good, bad))
+    if not g.sum():
         return None
-    forest = IsolationForest(shares(c))
-    score = forest.score(shares(c))
-    fine, poor = np.sort(score[good]), np.sort(score[~good])
-    cost = care * (1 - np.arange(1, len(fine) + 1) / len(fine)) + np.searchsorted(poor, fine, side="right") / max(1, len(poor))
-    return forest, float(fine[len(fine) - 1 - int(cost[::-1].argmin())])
+    cost = care * (1 - np.cumsum(g) / g.sum()) + np.cumsum(b) / max(1, b.sum())
+    at = np.flatnonzero(g > 0)  # a cut above a good row is never worse than one just below
+    best = at[len(at) - 1 - int(cost[at][::-1].argmin())]
+    return float(bins[order[best]]) / _BINS
+
+
+def _scored(forest: IsolationForest | None, c: np.ndarray) -> np.ndarray:
+    """Anomaly scores, rounded up to whole bins."""
+    return np.ceil(forest.score(shares(c)) * _BINS) / _BINS if forest and len(c) else np.zeros(len(c))
+
+
+def _matrix(columns: list[pa.Array], n: int) -> np.ndarray:
+    return np.stack([x.to_numpy() for x in columns], 1) if n else np.zeros((0, len(COUNTS)), dtype=np.int64)
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, care: float = 4.0) -> DataFrame:
@@ -176,15 +193,25 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, care:
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     sample = known.filter(draw < min(1.0, sample_rows / max(1, n))).join(stats, "doc_id").select("quality", *COUNTS).toArrow()
     rows = np.array(sorted(zip(*(sample.column(k).to_pylist() for k in range(1 + len(COUNTS))), strict=True)), dtype=np.int64).reshape(-1, 1 + len(COUNTS))
-    model = fit(rows[:, 1:], rows[:, 0] > 0, care) if len(rows) else None
+    forest = fit(rows[:, 1:])
+    arrow_rows(docs.sparkSession, 10_000)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = _matrix(batch.columns[1:], batch.num_rows)
+            use = pa.array(~_base_failed(c))
+            at = pa.array((_scored(forest, c) * _BINS).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([at.filter(use), batch.column(0).filter(use)], names=["bin", "good"])
+
+    judged = known.select("doc_id", (F.col("quality") > 0).alias("good")).join(stats, "doc_id").select("good", *COUNTS)
+    one = judged.mapInArrow(labelled, "bin long, good boolean").groupBy("bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect() if forest else []
+    most = threshold([r.bin for r in one], [r.good for r in one], [r.bad for r in one], care)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = np.stack([x.to_numpy() for x in batch.columns[1:]], 1) if batch.num_rows else np.zeros((0, len(COUNTS)), dtype=np.int64)
-            failed = _base_failed(c)
-            score = model[0].score(shares(c)) if model else np.zeros(len(c))
-            kept = ~failed & (score <= model[1] if model else True)
+            c = _matrix(batch.columns[1:], batch.num_rows)
+            failed, score = _base_failed(c), _scored(forest, c)
+            kept = ~failed & (score <= most if most is not None else True)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(failed), pa.array(kept), pa.array(score)], names=[*batch.schema.names[:6], "base_failed", "kept", "anomaly"])
 
-    arrow_rows(docs.sparkSession, 10_000)
     return stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, kept boolean, anomaly double")

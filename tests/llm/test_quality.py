@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from entwine.llm.quality import COUNTS, IsolationForest, counts, quality
+from entwine.llm.quality import COUNTS, IsolationForest, counts, quality, threshold
 from .fixtures import DOC, documents, prose
 
 LABEL = "doc_id long, quality int, toxic int"
@@ -65,6 +65,26 @@ def test_forest_finds_junk(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_threshold_is_that_of_all_labels(spark):
+    rows, labels = junk_rows(2)
+    labels += [(i, 1, 0) for i in range(1, 120, 2) if i % 8]
+    df, known = spark.createDataFrame(rows, DOC).repartition(4), spark.createDataFrame(labels, LABEL)
+    out = {r.doc_id: r for r in quality(df, known, sample_rows=100).collect()}
+    seen = [(out[i].anomaly, good) for i, good, _ in labels if not out[i].base_failed]
+    n_good, n_bad = sum(g for _, g in seen), sum(not g for _, g in seen)
+    cost = {s: 4 * sum(g and x > s for x, g in seen) / n_good + sum(not g and x <= s for x, g in seen) / n_bad for s, g in seen if g}
+    least = min(cost.values())
+    cut = max(s for s, c in cost.items() if c <= least + 1e-12)
+    assert all(r.kept == (not r.base_failed and r.anomaly <= cut) for r in out.values())
+
+
+def test_threshold_of_few():
+    assert threshold([], [], [], 4.0) is None
+    assert threshold([5], [0], [3], 4.0) is None
+    assert threshold([7, 5], [0, 2], [9, 0], 4.0) == 5 / 65536
+    assert threshold([9, 7, 5], [1, 0, 2], [0, 0, 0], 4.0) == 9 / 65536
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame(documents(), DOC)
     labels = [(0, 1, 0), (0, 0, 1), (None, 1, 0), (5, None, None), (10**9, 1, 0)]
