@@ -167,6 +167,17 @@ def resolve(of: str, most: int = 100) -> str:
     return f"WITH {base}, {tok_cte(of)}, {keys_cte('tok')}, {pairs_cte(most)}, {DECIDED} "
 
 
+def jw_classic(a: str, b: str, of: str) -> str:
+    """Classic Jaro-Winkler of the distinct pairs of two string expressions over ``of``, as jwc (a, b, jw)."""
+    return f"""jwp AS MATERIALIZED (SELECT *, greatest(0, greatest(len(a), len(b)) // 2 - 1) AS reach FROM (SELECT DISTINCT {a} AS a, {b} AS b FROM {of})),
+jwh AS MATERIALIZED (SELECT a, b, list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda hits, x: list_append(hits, coalesce(list_min(list_filter(range(greatest(1, x[1] - reach), least(len(b), x[1] + reach) + 1), lambda j: b[j] = a[x[1]] AND NOT list_contains(hits, j))), 0)), []::BIGINT[]) AS hits FROM jwp),
+jwt AS MATERIALIZED (SELECT a, b, list_filter(range(1, len(a) + 1), lambda i: hits[i] > 0) AS l, list_sort(list_filter(hits, lambda h: h > 0)) AS t FROM jwh),
+jws AS MATERIALIZED (SELECT a, b, len(l)::double AS m, len(list_filter(range(1, len(l) + 1), lambda k: a[l[k]] <> b[t[k]]))::double AS odd,
+ CASE WHEN a[1] <> b[1] THEN 0 WHEN a[1:2] <> b[1:2] OR least(len(a), len(b)) < 2 THEN 1 WHEN a[1:3] <> b[1:3] OR least(len(a), len(b)) < 3 THEN 2 WHEN a[1:4] <> b[1:4] OR least(len(a), len(b)) < 4 THEN 3 ELSE 4 END AS p FROM jwt),
+jwj AS MATERIALIZED (SELECT a, b, p, (m / len(a) + m / len(b) + (m - odd / 2.0::double) / m) / 3.0::double AS j, m FROM jws),
+jwc AS MATERIALIZED (SELECT a, b, CASE WHEN a = b THEN 1.0::double WHEN a = '' OR b = '' OR m = 0 THEN 0.0::double ELSE j + 0.1::double * p * (1.0::double - j) END AS jw FROM jwj)"""
+
+
 def simple(e: str, of: str = "docs", column: str = "business_name", name: str = "result") -> str:
     base = PARTS if of == "parts" else DOCS
     return f"WITH {base} SELECT entity_id, {e} AS {name} FROM {of}"
@@ -246,6 +257,11 @@ gen AS MATERIALIZED (SELECT s_id, t_id, {score()} AS score FROM body WHERE s_cou
     sweep_counts = "SELECT i, threshold, ids.s1_id, (SELECT count(*) FROM truth t WHERE t.s1_id=ids.s1_id) AS na, coalesce(p.np,0) AS np, coalesce(p.b,0) AS b FROM ids CROSS JOIN grid LEFT JOIN pred p USING (i, s1_id)"
     p, r = "CASE WHEN np>0 THEN b/np::double WHEN na=0 THEN 1.0::double ELSE 0.0::double END", "CASE WHEN na>0 THEN b/na::double ELSE 1.0::double END"
     out_rows = "SELECT d.entity_id AS source1_entity_id, coalesce(string_agg(DISTINCT m.t_id, ',' ORDER BY m.t_id),'') AS {c} FROM {of} d LEFT JOIN {t} m ON m.s_id=d.entity_id WHERE d.src=0 GROUP BY d.entity_id, d.rowno"
+    names = [f"lower(coalesce({x}_name,'')[1:35])" for x in "st"]
+    threshold_jw = f"jaro_winkler_similarity({names[0]}, {names[1]})"
+    by_classic = DECIDED.replace(threshold_jw, "jwc.jw").replace("FROM body WHERE", f"FROM body JOIN jwc ON jwc.a={names[0]} AND jwc.b={names[1]} WHERE")
+    default_parts = f"WITH {PARTS}, {tok_cte('parts')}, {keys_cte('tok')}, {pairs_cte(100)}, {jw_classic(*names, 'body')}, {by_classic} "
+    default_docs = default_parts.replace(PARTS, DOCS, 1).replace(tok_cte("parts"), tok_cte("docs"), 1)
     head = "SELECT entity_id, rowno, 'train' AS split FROM (SELECT * FROM parts WHERE src=0 ORDER BY rowno LIMIT 300) UNION ALL SELECT entity_id, rowno, 'valid' FROM (SELECT * FROM parts WHERE src=0 ORDER BY rowno LIMIT 100 OFFSET 300)"
     needed = f"{TRUTH}, needed AS (SELECT DISTINCT t_id AS entity_id FROM truth)"
     q = {
@@ -269,6 +285,10 @@ gen AS MATERIALIZED (SELECT s_id, t_id, {score()} AS score FROM body WHERE s_cou
         "digit_overlap": with_pairs
         + "SELECT s_id, t_id, list_has_any(sd,td) AS overlap, (len(sd)>0 AND len(td)>0 AND NOT list_has_any(sd,td)) AS conflict FROM (SELECT s_id, t_id, list_filter(sa, lambda t: regexp_full_match(t,'[0-9]+')) AS sd, list_filter(ta, lambda t: regexp_full_match(t,'[0-9]+')) AS td FROM body)",
         "jaro_winkler": with_pairs + "SELECT s_id, t_id, round(jaro_winkler_similarity(lower(s_name[1:35]), lower(t_name[1:35])),6) AS result FROM body",
+        "jaro_winkler_classic": f"{with_pairs}, {jw_classic(*names, 'body')} SELECT s_id, t_id, round(jw,6) AS result FROM body JOIN jwc ON a={names[0]} AND b={names[1]}",
+        "resolve_default": default_parts + "SELECT s_id, t_id FROM mat",
+        "decisions_default": default_docs + "SELECT s_id, t_id, candidate, tier, is_match FROM decided WHERE candidate OR is_match",
+        "candidates_by_id": entry_b + "SELECT d.entity_id AS source1_entity_id, coalesce(string_agg(DISTINCT g.t_id, ',' ORDER BY g.t_id),'') AS candidate_entity_ids FROM docs d LEFT JOIN gen g ON g.s_id=d.entity_id AND g.score>=2.0::double WHERE d.src=0 GROUP BY d.entity_id, d.rowno",
         "blocking_keys": keys_docs + f"SELECT entity_id, family, country, {show} FROM keys",
         "block_sizes": keys_parts + f"SELECT family, country, {show}, count(*) AS n FROM keys WHERE src=0 GROUP BY ALL",
         "pruned_blocks": keys_parts + f"SELECT entity_id, family, country, {show} FROM keys WHERE src=0 AND (family, country, key) IN (SELECT (family, country, key) FROM keys WHERE src=0 GROUP BY ALL HAVING count(*)<=20)",

@@ -169,10 +169,10 @@ for _name, _rule in (("name_gate", M.name_gate), ("bldg_veto", M.bldg_veto), ("p
     QUERIES[_name] = lambda spark, sf_dir, rule=_rule: _ids(_part_pairs(spark, sf_dir).filter(rule()))
 
 
-def _decisions(spark: SparkSession, sf_dir: str, of: Callable) -> DataFrame:
-    # threshold Jaro-Winkler, as the oracle's is
+def _decisions(spark: SparkSession, sf_dir: str, of: Callable, classic: bool = False) -> DataFrame:
+    # threshold Jaro-Winkler is the one DuckDB has; the default queries below check the classic one
     records = of(spark, sf_dir)
-    return M.resolve(_side(records, True), _side(records, False), 100, classic=False)
+    return M.resolve(_side(records, True), _side(records, False), 100, classic)
 
 
 @query
@@ -206,6 +206,17 @@ def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(M.first_per_entity(_decisions(spark, sf_dir, R.er_parts).filter("is_match"), 10))
 
 
+@query
+def resolve_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship with the matcher's default, classic Jaro-Winkler."""
+    return _ids(M.first_per_entity(_decisions(spark, sf_dir, R.er_parts, True).filter("is_match"), 10))
+
+
+@query
+def decisions_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(_decisions(spark, sf_dir, R.er_docs, True).filter("candidate or is_match"), "candidate", "tier", "is_match")
+
+
 def _output(spark: SparkSession, sf_dir: str, of: Callable, which: int, column: str) -> DataFrame:
     pairs = M.candidates_and_matches(_decisions(spark, sf_dir, of))[which]
     return M.output_rows(_side(of(spark, sf_dir), True), pairs, column).drop("src", "rowno")
@@ -226,6 +237,14 @@ def generate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(M.generate_candidates(_side(records, True), _side(records, False)))
 
 
+@query
+def candidates_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The in-memory candidates of every S1 id, sorted; empty where there are none."""
+    records = R.er_docs(spark, sf_dir)
+    s1 = _side(records, True)
+    return M.output_rows(s1, M.generate_candidates(s1, _side(records, False)), "candidate_entity_ids").drop("src", "rowno")
+
+
 @query
 def split_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _output(spark, sf_dir, R.er_docs, 1, "matched_entity_ids")
