@@ -2,7 +2,8 @@
 
 ``classic`` halves transpositions and always adds the prefix; two empty strings are 1.
 ``threshold`` rounds half the transpositions down and adds the prefix only above 0.7; two
-empty strings are 0.
+empty strings are 0.  Both compare characters; ``in_bytes`` compares the bytes of UTF-8 instead,
+as DuckDB's function does, so that an accented letter counts twice.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def similarity(a: str, b: str, classic: bool = True) -> float:
+def similarity(a: str, b: str, classic: bool = True, in_bytes: bool = False) -> float:
+    if in_bytes and not (a.isascii() and b.isascii()):
+        a, b = (x.encode("utf-8", "surrogatepass").decode("latin-1") for x in (a, b))  # one character for each byte
     if not a and not b:
         return 1.0 if classic else 0.0
     if not a or not b:
@@ -45,14 +48,14 @@ def similarity(a: str, b: str, classic: bool = True) -> float:
     return score + 0.1 * prefix * (1 - score) if classic or score > 0.7 else score
 
 
-def _over(classic: bool):
+def _over(classic: bool, in_bytes: bool):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple, float | None] = {}
         out = []
         for pair in zip(a, b, strict=True):
             if pair not in known:
-                known[pair] = None if pair[0] is None or pair[1] is None else similarity(*pair, classic)
+                known[pair] = None if pair[0] is None or pair[1] is None else similarity(*pair, classic, in_bytes)
             out.append(known[pair])
         return pd.Series(out, dtype="float64")
 
@@ -60,6 +63,6 @@ def _over(classic: bool):
     return run.asNondeterministic()
 
 
-def jaro_winkler(a: Column, b: Column, classic: bool = True) -> Column:
+def jaro_winkler(a: Column, b: Column, classic: bool = True, in_bytes: bool = False) -> Column:
     """Null where either is null."""
-    return _over(classic)(a, b)
+    return _over(classic, in_bytes)(a, b)

@@ -150,12 +150,12 @@ def _decision_columns() -> tuple:
     return name_gate() & ~bldg_veto() & ~postal_veto(), {"candidate": is_candidate(), "tier": tier}, {"plain": plain}, names, match
 
 
-def decided(pairs: DataFrame, classic: bool = True) -> DataFrame:
+def decided(pairs: DataFrame, classic: bool = True, in_bytes: bool = False) -> DataFrame:
     """Pairs that pass gate and vetoes, with candidate, tier (1 exact, 2 domain, 3 typo, 0 none) and is_match."""
     live, tiers, plain, names, match = _decision_columns()
     live = with_scores(pairs.filter(live)).withColumns(tiers).withColumns(plain).filter("candidate or plain or tier = 3").withColumns(names)
     kept = ["s_row", "t_row", "s_entity_id", "t_entity_id", "candidate", "tier", "plain", "nd", "ad", "bldg_match", "postal_match", "_a", "_b"]
-    live = live.select(*kept).withColumn("jw", jaro_winkler(F.col("_a"), F.col("_b"), classic))
+    live = live.select(*kept).withColumn("jw", jaro_winkler(F.col("_a"), F.col("_b"), classic, in_bytes))
     return live.withColumns(match).drop("plain", "_a", "_b")
 
 
@@ -173,10 +173,10 @@ def candidates_and_matches(decisions: DataFrame, most_candidates: int = 15, most
     return candidates.union(matches).distinct(), matches.distinct()
 
 
-def resolve(s1: DataFrame, targets: DataFrame, most: int | None = 100, classic: bool = True) -> DataFrame:
+def resolve(s1: DataFrame, targets: DataFrame, most: int | None = 100, classic: bool = True, in_bytes: bool = False) -> DataFrame:
     """Decisions on all candidate pairs of two record sets."""
     left, right = prepared(s1), prepared(targets)
-    return decided(with_bodies(row_pairs(left, right, most, vetoed=True), left, right), classic)
+    return decided(with_bodies(row_pairs(left, right, most, vetoed=True), left, right), classic, in_bytes)
 
 
 def output_rows(s1: DataFrame, pairs: DataFrame, column: str) -> DataFrame:

@@ -53,3 +53,13 @@ def test_jaro_winkler_bounds_and_duckdb(a, b):
 
 def test_jaro_winkler_column(spark):
     assert values(spark, [("martha", "marhta"), (None, "a"), ("x", "x")], jaro_winkler) == [pytest.approx(0.9611, abs=5e-5), None, 1.0]
+
+
+def test_jaro_winkler_in_bytes_is_duckdbs():
+    import duckdb
+
+    a, b = "viè euxquepa et éai", "vièbald euxquepa et éai"
+    assert similarity(a, b, False) < similarity(a, b, False, in_bytes=True)
+    for x, y in ((a, b), (b, a), ("é", "è"), ("नमस्ते", "नमते"), ("日本語", "日本"), ("", "é"), ("😀a", "a😀")):
+        got = duckdb.execute("select jaro_winkler_similarity(?, ?)", [x, y]).fetchall()[0][0]
+        assert got == pytest.approx(similarity(x, y, False, in_bytes=True), abs=1e-12)
