@@ -194,3 +194,25 @@ def test_edge_rows(spark):
     out = sorted(extract_text(df).collect(), key=lambda r: (r.page_id is None, r.page_id or 0))
     assert [(r.page_id, r.url, r.n_chars) for r in out] == [(1, None, 0), (2, "not a url", 0), (4, "http://a/y", len(long) - 1), (5, "http://a/z", 5), (5, "http://a/z", 5), (None, "http://a/x", 3)]
     assert extract_text(spark.createDataFrame([], PAGE)).count() == 0
+
+
+@pytest.mark.parametrize("n, parts", [(12, 1), (200, 3)])
+def test_repeats_inside_main_texts_alone(spark, n, parts):
+    """A notice in most articles of a host goes though nothing outside repeats it; copied articles and a few quotes stay."""
+    rng = random.Random(n)
+    notice, quote, copied = prose(rng, 9), prose(rng, 12), prose(rng, 40)
+    rows, want = [], {}
+    for i in range(n):
+        body = prose(rng, 30)
+        said = f"<p>{quote}</p>" if i % 4 == 0 else ""
+        own = f"<p>{notice}</p>" if i % 6 else ""
+        rows.append((i, "http://a.example/x", f"<article><h1>T {i}</h1><p>{body}</p>{own}{said}</article>"))
+        want[i] = f"T {i} {body}" + (f" {quote}" if said else "")
+        rows.append((n + i, "http://b.example/x", f"<article><h1>T {i}</h1><p>{copied}</p></article>"))
+        want[n + i] = f"T {i} {copied}"
+        if i < 9:  # too few texts on this host
+            rows.append((2 * n + i, "http://c.example/x", f"<article><p>{body}</p><p>{notice}</p></article>"))
+            want[2 * n + i] = f"{body} {notice}"
+    out = extract_text(spark.createDataFrame(rows, PAGE).repartition(parts)).collect()
+    assert {r.page_id: r.text for r in out} == want
+    assert {r.rule for r in out} == {"main", "main, cleaned"}
