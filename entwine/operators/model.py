@@ -16,10 +16,16 @@ from .features import FEATURES
 _ROWS = 20_000  # of a task of the boosted trees: each level of each tree is a job, so small inputs want few tasks
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows kept for several reads: in the checkpoint folder if there is one, as the plan and lineage end there."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+
+
 def fit_gbt(train: DataFrame, trees: int = 160, rate: float = 0.05, depth: int = 6, seed: int = 42) -> PipelineModel:
     """Equal rows of features and label go in once, weighted by their number: same sums, fewer rows."""
     gbt = GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", weightCol="weight")
-    rows = train.groupBy("label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight")).persist()
+    rows = train.groupBy("label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = settled(rows)
     few = rows.coalesce(rows.count() // _ROWS + 1)
     model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(few)
     rows.unpersist()
