@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free_memory(spark: SparkSession) -> bool:
+    """Collects the driver's garbage, and lets its JVM give free native memory back to the system; false if it can't.
+
+    Spark deletes the shuffle files of finished steps when their garbage is collected.  What the
+    JVM's compilers and plans allocate outside the heap stays with malloc otherwise: some 150 MB
+    after the many plans of near-dedup.  JDKs before 17.0.9 have no command for it.
+    """
+    gc.collect()
+    jvm = spark._jvm
+    jvm.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = next(m for m in jvm.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")  # the server's own class is closed to Py4J
+        args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
+
+
 class Scratch:
     """Tables written to the shared folder while an operator runs.
 
@@ -68,8 +90,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         schema = df.schema
         del df
-        gc.collect()
-        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
+        free_memory(self.spark)
         out = self.spark.read.schema(schema).parquet(path)
         out._entwine_path = path
         return out

@@ -19,6 +19,7 @@ Other columns are ignored, whatever their names.  An empty table gives an empty
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from . import kernels as K
-from .common import arrow_rows, free_names
+from .common import arrow_rows, free_memory, free_names
 
 # Families of ISO 639-1 codes.
 FAMILIES = {
@@ -44,6 +45,7 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 BITS = 12
+_HEAD = 1024
 _LETTERS = np.zeros(256, dtype=np.uint8)
 _LETTERS[:] = 32
 _LETTERS[97:123] = np.arange(97, 123)
@@ -99,7 +101,8 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60, s
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return (alpha * y) @ x
+    side = alpha * y
+    return np.concatenate([side @ x[:, k : k + 512] for k in range(0, x.shape[1], 512)])  # as doubles, some columns at a time
 
 
 @dataclass
@@ -139,13 +142,20 @@ class Model:
 
 def fit(x: np.ndarray, lang: list[str]) -> Model:
     """x: features of the sample; lang: their languages."""
+    z = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
+    z[:, :-1] = x
+    return _fit(z, lang)
+
+
+def _fit(z: np.ndarray, lang: list[str]) -> Model:
+    """z: features and a column of ones; it is scaled in place, so that the driver holds the sample once."""
+    x = z[:, :-1]
     languages = sorted(set(lang))
     family = [FAMILY.get(v.lower().split("-")[0].split("_")[0], f"={v}") for v in languages]
     families = sorted(set(family))
     of = [families.index(f) for f in family]
     scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    z = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
-    np.multiply(x, scale, out=z[:, :-1], casting="same_kind")
+    np.multiply(x, scale, out=x, casting="same_kind")
     y = np.array([languages.index(v) for v in lang])
     fy = np.array(of)[y]
     columns = [train_svm(z, np.where(fy == f, 1.0, -1.0)) for f in range(len(families))] if len(families) > 1 else [np.zeros(z.shape[1])]
@@ -177,15 +187,29 @@ def learn(docs: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", text
             for i, j, data, bounds in K.slices(batch.column(0), 1 << 20):
                 ok = has_letter(data, bounds)
                 x = features(data, bounds)[ok]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(i, j - i).filter(pa.array(ok))], names=["x", "lang"])
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary()), batch.column(1).slice(i, j - i).filter(pa.array(ok))], names=["x", "lang"])
 
     sample = rows.filter(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "x binary, lang string").toArrow()
     if not sample.num_rows:
         return None
-    x = np.stack([np.frombuffer(v.as_buffer(), dtype=np.float32) for v in sample.column(0)])
-    lang = sample.column(1).to_pylist()
-    order = sorted(range(len(lang)), key=lambda i: (lang[i], x[i].tobytes()))  # so that the order of arrival doesn't matter
-    return fit(x[order], [lang[i] for i in order])
+    packed, lang = (c.to_pylist() for c in sample.columns)
+    del sample
+    free_memory(docs.sparkSession)
+    return _fit(*_sample(packed, lang))
+
+
+def _sample(packed: list[bytes], lang: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Features with a column of ones, and languages, in an order that doesn't hang on that of arrival."""
+    tied: dict[tuple[str, bytes], list[int]] = {}
+    for i, v in enumerate(packed):
+        tied.setdefault((lang[i], zlib.decompressobj().decompress(v, _HEAD)), []).append(i)
+    order = []
+    for key in sorted(tied):  # by language, then by all bytes; rows are unpacked whole only where their heads are equal
+        order += sorted(tied[key], key=lambda i: zlib.decompress(packed[i])) if len(tied[key]) > 1 else tied[key]
+    z = np.ones((len(order), (1 << BITS) + 1), dtype=np.float32)
+    for k, i in enumerate(order):
+        z[k, :-1] = np.frombuffer(zlib.decompress(packed[i]), dtype=np.float32)
+    return z, [lang[i] for i in order]
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

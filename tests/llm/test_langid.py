@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
-from entwine.llm.langid import BITS, fit, features, has_letter, identify_language, train_svm
+from entwine.llm.common import free_memory
+from entwine.llm.langid import BITS, _fit, _sample, fit, features, has_letter, identify_language, train_svm
 from .fixtures import DOC, documents
 
 # A few common words of each language.
@@ -69,3 +71,32 @@ def test_features_of_short_texts(text):
     assert x.shape == (1, 1 << BITS) and x.sum() in (0, pytest.approx(1))
     assert has_letter(raw, np.array([0, len(raw)])).tolist() == [bool(text.strip())]
     assert fit(np.vstack([x, x]), ["en", "de"]).predict(x)[0].shape == (1,)
+
+
+def sample_of(n):
+    rng = np.random.default_rng(2)
+    x = rng.poisson(0.1, size=(n, 1 << BITS)).astype(np.float32)
+    x[::50] = x[0]
+    return x, [rng.choice(sorted(WORDS)) for _ in range(n)]
+
+
+def test_fitting_takes_little_more_memory_than_the_sample():
+    x, lang = sample_of(500)
+    tracemalloc.start()
+    fit(x, lang)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * x.nbytes
+
+
+def test_packed_sample_gives_the_same_machines():
+    x, lang = sample_of(200)
+    order = sorted(range(200), key=lambda i: (lang[i], x[i].tobytes()))
+    want = fit(x[order], [lang[i] for i in order])
+    mixed = np.random.default_rng(3).permutation(200)
+    got = _fit(*_sample([zlib.compress(x[i].tobytes(), 1) for i in mixed], [lang[i] for i in mixed]))
+    assert got.languages == want.languages and np.array_equal(got.weights, want.weights)
+
+
+def test_driver_gives_memory_back(spark):
+    assert free_memory(spark)
