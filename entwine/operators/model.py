@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import BoostedTrees
 from .features import FEATURES
 
 _ROWS = 20_000  # of a task of the boosted trees: each level of each tree is a job, so small inputs want few tasks
@@ -23,7 +24,7 @@ def settled(rows: DataFrame) -> DataFrame:
 
 def fit_gbt(train: DataFrame, trees: int = 160, rate: float = 0.05, depth: int = 6, seed: int = 42) -> PipelineModel:
     """Equal rows of features and label go in once, weighted by their number: same sums, fewer rows."""
-    gbt = GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", weightCol="weight")
+    gbt = BoostedTrees(maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label", weightCol="weight")
     rows = train.groupBy("label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     rows = settled(rows)
     few = rows.coalesce(rows.count() // _ROWS + 1)
